@@ -28,8 +28,8 @@ from veilspark.llm.common import freeze, mix64, partitions, sized_batches, strin
 from veilspark.llm.components import components
 from veilspark.llm.shingles import shingle_sets
 
-#: Frequent shingles: each task names at most LOCAL_HOT, of which the HOT most frequent are broadcast (12 bytes each).
-LOCAL_HOT, HOT = 4096, 65536
+#: Frequent shingles: each task names at most LOCAL_HOT, of which the HOT most frequent are broadcast (16 bytes each).
+LOCAL_HOT, HOT = 1 << 14, 1 << 18
 #: Postings in a bucket on average, and rows of the hash filter in front of the text lookup (a fixed size).
 BUCKET, FILTER = 1_000_000, 1 << 18
 
@@ -43,22 +43,28 @@ def _statistics(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        names = ["kind", "doc_id", "n", "f1", "f2"]
+        names, known = ["kind", "doc_id", "n", "f1", "f2"], np.zeros(0, np.int64)
         for batch in sized_batches(batches, "text"):
             sets = list(shingle_sets(*string_bytes(batch.column("text")), k))
             n = np.array([len(s) for s in sets], np.int64)
             f1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             f2 = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             yield pa.record_batch([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n), pa.array(f1), pa.array(f2)], names)
-            every, times = np.unique(np.concatenate(sets), return_counts=True)
+            # copies of one set count once in a task: they are collapsed before the join
+            new = np.unique(f1, return_index=True)[1]
+            new = new[~np.isin(f1[new], known)]
+            known = np.concatenate((known, f1[new]))[-200_000:]
+            if not len(new):
+                continue
+            every, times = np.unique(np.concatenate([sets[i] for i in new]), return_counts=True)
             more = times > 1
             hot, where = np.unique(np.concatenate((hot, every[more])), return_inverse=True)
             count = np.bincount(where, np.concatenate((count, times[more])), len(hot)).astype(np.int64)
-            if len(hot) > 16 * LOCAL_HOT:
-                top = np.sort(np.lexsort((hot, -count))[: 8 * LOCAL_HOT])
+            if len(hot) > 32 * LOCAL_HOT:
+                top = np.sort(np.lexsort((hot, -count))[: 16 * LOCAL_HOT])
                 hot, count = hot[top], count[top]
         top = np.lexsort((hot, -count))[:LOCAL_HOT]
-        top = top[count[top] > 2]
+        top = top[count[top] > 1]
         none = pa.nulls(len(top), pa.int64())
         yield pa.record_batch([pa.array(np.ones(len(top), np.int32)), none, pa.array(count[top]), pa.array(hot[top].view(np.int64)), none], names)
 
