@@ -30,8 +30,8 @@ from veilspark.llm.shingles import shingle_sets
 
 #: Frequent shingles: each task names at most LOCAL_HOT, of which the HOT most frequent are broadcast (16 bytes each).
 LOCAL_HOT, HOT = 1 << 14, 1 << 18
-#: Postings in a bucket on average, and rows of the hash filter in front of the text lookup (a fixed size).
-BUCKET, FILTER = 1_000_000, 1 << 18
+#: Postings that a task packs at once; those in a bucket on average; rows of the hash filter in front of the text lookup (a fixed size).
+FLUSH, BUCKET, FILTER = 1_000_000, 3_000_000, 1 << 18
 
 
 def _u64(x: int) -> np.uint64:
@@ -118,7 +118,7 @@ def _prefixes(k: int, num: int, den: int, hot: np.ndarray, rank: np.ndarray, buc
                 sizes.append(n)
                 places.append(np.arange(keep, dtype=np.uint32))
                 held += keep
-            if held > BUCKET:
+            if held > FLUSH:
                 yield flush()
                 held = 0
         if held:
@@ -176,12 +176,30 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield now, packs, labels
 
 
-def _centres(num: int, den: int):
-    """Step 1 of a bucket: each document's best centre, the lists that live on, and which documents these name."""
+def _partnered(token, size, num: int, den: int) -> np.ndarray:
+    """Entries whose list has another one of a size that may be similar; its neighbour by size is the best case."""
+    order = np.lexsort((size, token))
+    t, n = token[order], size[order].astype(np.int64)
+    near = (t[1:] == t[:-1]) & (den * n[:-1] >= num * n[1:])
+    out = np.zeros(len(t), bool)
+    out[order[1:]] |= near
+    out[order[:-1]] |= near
+    return out
+
+
+def _centres(num: int, den: int, buckets: int):
+    """Step 1 of a bucket: each document's best centre, the lists that live on, and which documents these name.
+
+    A centre counts if a quarter of the document's prefix tokens that this bucket should have name it: others are no
+    near copies as a rule, and step 2 meets them anyway.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, packs, _ in _grouped(batches):
             arrays = _arrays(packs)
+            packs.clear()
+            live = _partnered(arrays[0], arrays[2], num, den)
+            arrays = tuple(x[live] for x in arrays)
             token, doc, size, place, begin, _ = _lists(*arrays, arrays[1])
             if not len(doc):
                 continue
@@ -192,7 +210,10 @@ def _centres(num: int, den: int):
             v, c = v[order], c[order]
             new = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (c[1:] != c[:-1])))) if len(v) else np.zeros(0, np.int64)
             v, c, times = v[new], c[new], np.diff(np.append(new, len(v)))
-            named = np.unique(doc)
+            named, at = np.unique(doc, return_index=True)
+            n = size[at[np.searchsorted(named, v)]]
+            likely = times > (n - (n * num + den - 1) // den + 1) // (4 * buckets)
+            v, c, times = v[likely], c[likely], times[likely]
             yield _rows(0, bucket, v, c, times)
             yield _rows(1, bucket, named, named, np.zeros(len(named), np.int64))
             yield _rows(2, bucket, *([None] * 3), [x.tobytes() for x in (token, doc, size.astype(np.uint32), place.astype(np.uint32))])
@@ -298,7 +319,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     buckets = max(1, -(-total // BUCKET))
     spread = lambda df: df.repartition(max(partitions(df.sparkSession), buckets), "bucket").sortWithinPartitions("bucket")
     packs = docs.mapInArrow(_prefixes(k, num, den, token[order], rank, buckets), _PACK)
-    step = freeze(spread(packs).mapInArrow(_centres(num, den), _STEP), "prefix-lists")
+    step = freeze(spread(packs).mapInArrow(_centres(num, den, buckets), _STEP), "prefix-lists")
     copies = freeze(stats.where("n > 0").join(sets.where("copies > 1"), ["n", "f1", "f2"]).select("doc_id", "rep"), "set-copies")
     other = copies.where("doc_id <> rep").distinct()
 
