@@ -2,11 +2,13 @@
 
 Shingles are ordered by corpus frequency (rare first). Two sets with Jaccard similarity of at least t share a token
 among the first n - ceil(t n) + 1 of each, so only these prefixes are indexed. Documents of one set collapse into one
-group, and prefix lists are contracted in two steps:
+group, and prefix lists are contracted in three steps:
 
-1. every document meets, of all members of its prefix lists, the one centre that it shares most lists with; verified
-   links give components;
-2. only pairs of *different* components that pass the size and positional filters are expanded and verified.
+1. every document meets, of the centres of its prefix lists (the member with the fewest rarer shingles, as an
+   original among its near copies), the one that it shares most lists with; verified links give components;
+2. a few draws of partners in *different* components join copies that have no such original;
+3. all pairs of components that are still different and pass the size and positional filters are expanded and
+   verified.
 
 A pair left out is already connected, so components are those of the complete link graph while a group of m copies
 costs m verifications, not m * m. Postings travel as packed arrays, one row per (mapper, bucket).
@@ -32,6 +34,8 @@ from veilspark.llm.shingles import shingle_sets
 LOCAL_HOT, HOT = 1 << 14, 1 << 18
 #: Postings that a task packs at once; those in a bucket on average; rows of the hash filter in front of the text lookup (a fixed size).
 FLUSH, BUCKET, FILTER = 1_000_000, 3_000_000, 1 << 18
+#: Draws before all pairs that are left meet; partners that a document picks from each list; those kept in a bucket.
+DRAWS, PICKS, DRAWN = 3, 4, 64
 
 
 def _u64(x: int) -> np.uint64:
@@ -138,9 +142,9 @@ def _arrays(rows: list[tuple]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.uint64, np.int64, np.uint32, np.uint32)))
 
 
-def _lists(token, doc, size, place, by):
-    """Entries of tokens that at least two documents have, sorted by token, then ``by``; with the start of their list."""
-    order = np.lexsort((by, token))
+def _lists(token, doc, size, place, *by):
+    """Entries of tokens that at least two documents have, sorted by token, then ``by``; with their list's bounds."""
+    order = np.lexsort((*by[::-1], token))
     token, doc, size, place = token[order], doc[order], size[order].astype(np.int64), place[order].astype(np.int64)
     first = np.concatenate(([True], token[1:] != token[:-1]))
     start = np.flatnonzero(first)
@@ -168,7 +172,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
             part = batch.slice(s, e - s)
             packed = np.flatnonzero(np.asarray(part.column("token").is_valid()))
             cols = [part.column(c) for c in ("token", "doc", "size", "place")]
-            packs += [tuple(c[int(i)].as_py() for c in cols) for i in packed]
+            packs += [tuple(c[int(i)].as_buffer() for c in cols) for i in packed]
             if "node" in part.schema.names and len(packed) < e - s:
                 plain = part.filter(part.column("token").is_null())
                 labels.append((plain.column("node").to_numpy(zero_copy_only=False).astype(np.int64), plain.column("label").to_numpy(zero_copy_only=False).astype(np.int64)))
@@ -191,7 +195,7 @@ def _centres(num: int, den: int, buckets: int):
     """Step 1 of a bucket: each document's best centre, the lists that live on, and which documents these name.
 
     A centre counts if a quarter of the document's prefix tokens that this bucket should have name it: others are no
-    near copies as a rule, and step 2 meets them anyway.
+    near copies as a rule, and step 3 meets them anyway.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +204,8 @@ def _centres(num: int, den: int, buckets: int):
             packs.clear()
             live = _partnered(arrays[0], arrays[2], num, den)
             arrays = tuple(x[live] for x in arrays)
-            token, doc, size, place, begin, _ = _lists(*arrays, arrays[1])
+            # a document whose copies differ from it by rare shingles has none of these before its common ones
+            token, doc, size, place, begin, _ = _lists(*arrays, arrays[3], arrays[1])
             if not len(doc):
                 continue
             centre = doc[begin]
@@ -232,8 +237,11 @@ def _rows(kind: int, bucket: int, a, b, times, packed=None) -> pa.RecordBatch:
     return pa.record_batch([*ints, *longs, *blobs], [x.split()[0] for x in _STEP.split(", ")])
 
 
-def _rest(num: int, den: int, chunk: int = 1 << 20):
-    """Step 2 of a bucket: all pairs of different components that pass the filters, each once."""
+def _rest(num: int, den: int, draw: int | None = None, chunk: int = 1 << 20):
+    """Steps 2 and 3 of a bucket: all pairs of different components that pass the filters, each once.
+
+    With ``draw``, a number, only a few pairs of each document, another choice for each number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, packs, maps in _grouped(batches):
@@ -256,6 +264,19 @@ def _rest(num: int, den: int, chunk: int = 1 << 20):
             key = list_no * scale + size
             stop = np.searchsorted(key, list_no[entries] * scale + size[entries] * den // num, side="right")
             partners = np.maximum(stop - entries - 1, 0)
+            if draw is not None:
+                i = np.repeat(entries, PICKS)
+                n = (end[i] - begin[i]).astype(np.uint64)
+                j = begin[i] + (mix64(np.arange(len(i), dtype=np.uint64) + np.uint64(1 + draw << 40)) % n).astype(np.int64)
+                ok = (mine[i] != mine[j]) & _enough(size[i], size[j], place[i], place[j], num, den)
+                x, y = at[i[ok]].astype(np.uint64), at[j[ok]].astype(np.uint64)
+                some = np.unique(np.minimum(x, y) << np.uint64(32) | np.maximum(x, y))
+                some = some[np.lexsort((mix64(some), some >> np.uint64(32)))]
+                new = np.flatnonzero(np.diff(some >> np.uint64(32), prepend=np.uint64(0xFFFFFFFF)))
+                rank = np.arange(len(some)) - np.repeat(new, np.diff(np.append(new, len(some))))
+                if len(some):
+                    yield _pairs(ids, some[rank < DRAWN])
+                continue
             found = np.zeros(0, np.uint64)
             edge = 0
             while edge < len(entries):
@@ -296,13 +317,21 @@ def _verify(k: int, num: int, den: int):
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole texts have a similarity of num / den or more. doc_id must be unique in docs."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
-    slots = F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("x")).select(slot("x").alias("s")).distinct())
+    slots = F.broadcast(pairs.select(slot("a").alias("s")).union(pairs.select(slot("b").alias("s"))).distinct())
     texts = docs.join(slots, slot(docs["doc_id"]) == slots["s"], "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(k, num, den), "a long, b long")
 
 
+def _links_of(step: DataFrame, told: DataFrame) -> DataFrame:
+    """The lists that live on, beside the labels of the documents that they name."""
+    maps = step.where("kind = 1").select("bucket", F.col("a").alias("node")).join(told, "node")
+    blob = [F.lit(None).cast("binary").alias(c) for c in ("token", "doc", "size", "place")]
+    none = [F.lit(None).cast("long").alias(c) for c in ("node", "label")]
+    return step.where("kind = 2").select("bucket", "token", "doc", "size", "place", *none).unionByName(maps.select("bucket", *blob, "node", "label"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``."""
     num, den = percent, 100
@@ -332,11 +361,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     one_text = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(stats) else docs
     first = freeze(verified(one_text, by_sets(best), k, num, den), "links")
     told = freeze(components(first.union(other.toDF("a", "b"))).where("node <> label"), "labels")
-    maps = step.where("kind = 1").select("bucket", F.col("a").alias("node")).join(told, "node")
-    blob = [F.lit(None).cast("binary").alias(c) for c in ("token", "doc", "size", "place")]
-    none = [F.lit(None).cast("long").alias(c) for c in ("node", "label")]
-    again = step.where("kind = 2").select("bucket", "token", "doc", "size", "place", *none).unionByName(maps.select("bucket", *blob, "node", "label"))
-    rest = freeze(by_sets(spread(again).mapInArrow(_rest(num, den), "a long, b long")), "pairs")
+    # copies of no common original: a few draws of partners join most of them, so that few pairs are left for all
+    for draw in range(DRAWS):
+        some = freeze(by_sets(spread(_links_of(step, told)).mapInArrow(_rest(num, den, draw), "a long, b long")), "pairs")
+        more = freeze(verified(one_text, some, k, num, den), "links")
+        if more.isEmpty():
+            break
+        told = freeze(components(more.union(told.toDF("a", "b"))).where("node <> label"), "labels")
+    rest = freeze(by_sets(spread(_links_of(step, told)).mapInArrow(_rest(num, den), "a long, b long")), "pairs")
     second = freeze(verified(one_text, rest, k, num, den), "links")
     final = told
     if not second.isEmpty():

@@ -12,7 +12,7 @@ from veilspark.llm.common import mix64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 19
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -21,7 +21,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     name = f"p{base}"
     have = _tables.get(name)
     if have is None or len(have) < n:
-        size = 1 << max(21, int(n - 1).bit_length())
+        size = 1 << max(20, int(n - 1).bit_length())
         out = np.ones(size, np.uint64)
         filled, step = 1, base
         while filled < size:
