@@ -1 +1,224 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""The registered queries of the relational and padding operators, each with the same query as SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.functions.encoding import cents, date_int, decrypt_rows, encrypt_rows, session_key
+from veilspark.operators import private as P
+from veilspark.operators import relational as R
+from veilspark.operators.relational import Clause
+from veilspark.sources.tables import RANKINGS_VIEW, USERVISITS_VIEW, rankings, uservisits
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+_WITH = f"WITH rankings AS ({RANKINGS_VIEW}), uservisits AS ({USERVISITS_VIEW}) "
+_VISIT = ["destURL", "sourceIP", "visitDate", "adRevenue"]
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, _WITH + sql
+        return f
+
+    return add
+
+
+for _name, _op in {"lt": "<", "eq": "=", "gt": ">", "ge": ">=", "le": "<=", "ne": "<>"}.items():
+    QUERIES[f"filter_{_name}"] = lambda s, d, op=_op: R.filter_rows(rankings(s, d), Clause("pageRank", op, 1000))
+    ORACLE_SQL[f"filter_{_name}"] = _WITH + f"SELECT * FROM rankings WHERE pageRank {_op} 1000"
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'")
+def filter_text_eq(s, d):
+    return R.filter_rows(s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment"), Clause("c_mktsegment", "=", "BUILDING"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def filter_char_eq(s, d):
+    return R.filter_rows(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus"), Clause("o_orderstatus", "=", "F"))
+
+
+@query("SELECT * FROM uservisits WHERE visitDate > 19960101 AND visitDate < 19990101")
+def filter_and_range(s, d):
+    return R.filter_rows(uservisits(s, d), Clause("visitDate", ">", 19960101), Clause("visitDate", "<", 19990101))
+
+
+@query("SELECT * FROM rankings WHERE (pageRank > 2000 OR avgDuration = 7) AND pageRank <> 2500")
+def filter_cnf(s, d):
+    return R.filter_rows(rankings(s, d), [Clause("pageRank", ">", 2000), Clause("avgDuration", "=", 7)], Clause("pageRank", "<>", 2500))
+
+
+@query("SELECT pageURL, avgDuration FROM rankings")
+def project_columns(s, d):
+    return R.project(rankings(s, d), ["pageURL", "avgDuration"])
+
+
+@query("SELECT pageURL, pageRank FROM rankings WHERE pageRank > 1000")
+def bdb_q1(s, d):
+    return R.filter_project(rankings(s, d), [Clause("pageRank", ">", 1000)], ["pageURL", "pageRank"])
+
+
+@query("SELECT pageURL, pageRank FROM rankings WHERE pageRank > 1000")
+def padded_filter_project_reveal(s, d):
+    return P.padded_filter_project(rankings(s, d), F.col("pageRank") > 1000, ["pageURL", "pageRank"], seed=1).reveal()
+
+
+@query("SELECT * FROM rankings WHERE pageRank > 1000")
+def padded_filter_reveal(s, d):
+    return P.padded_filter(rankings(s, d), F.col("pageRank") > 1000, seed=1).reveal()
+
+
+@query("SELECT pageURL, pageRank FROM rankings")
+def padded_project_reveal(s, d):
+    return P.padded_project(rankings(s, d), ["pageURL", "pageRank"], seed=1).reveal()
+
+
+@query("SELECT pageURL, pageRank FROM rankings WHERE pageRank > 1000")
+def full_padded_filter_project_reveal(s, d):
+    return P.full_padded_filter_project(rankings(s, d), F.col("pageRank") > 1000, ["pageURL", "pageRank"]).reveal()
+
+
+@query("SELECT count(*) AS size FROM rankings")
+def full_padded_size(s, d):
+    return P.full_padded_filter_project(rankings(s, d), F.col("pageRank") > 1000, ["pageURL"]).for_sink().agg(F.count("*").alias("size"))
+
+
+@query("SELECT true AS ok")
+def padded_size_ok(s, d):
+    r = rankings(s, d)
+    p = P.padded_filter_project(r, F.col("pageRank") > 1000, ["pageURL"], seed=3)
+    written = p.for_sink().agg(F.count("*").alias("n"), F.count_if(~F.col("is_dummy")).alias("real"))
+    return written.select(((F.col("n") >= F.col("real")) & (F.col("n") == F.col("real") + p.dummies)).alias("ok"))
+
+
+def _by_duration(kind: str, sql: str) -> None:
+    name = f"agg_{kind.lower()}" if kind != "INT_AVG" else "agg_avg_int"
+    QUERIES[name] = lambda s, d: R.group_by(uservisits(s, d), "duration", [(kind, "adRevenue", "value")])
+    ORACLE_SQL[name] = _WITH + f"SELECT {sql} AS value, duration FROM uservisits GROUP BY duration"
+
+
+_by_duration("SUM", "cast(sum(adRevenue) as bigint)")
+_by_duration("MIN", "min(adRevenue)")
+_by_duration("MAX", "max(adRevenue)")
+_by_duration("COUNT", "count(*)")
+_by_duration("AVG", "avg(adRevenue)")
+_by_duration("INT_AVG", "cast(sum(adRevenue) // count(*) as bigint)")
+
+_Q2 = "SELECT cast(sum(adRevenue) as bigint) AS sum_revenue, cast(sum(duration) // count(*) as bigint) AS avg_duration, substr(sourceIP, 1, {k}) AS prefix FROM uservisits GROUP BY substr(sourceIP, 1, {k})"
+
+
+def _q2(s, d, k):
+    return R.group_by(uservisits(s, d), "sourceIP", [("SUM", "adRevenue", "sum_revenue"), ("INT_AVG", "duration", "avg_duration")], k, "prefix")
+
+
+@query(_Q2.format(k=8))
+def bdb_q2_sort(s, d):
+    return _q2(s, d, 8)
+
+
+@query(_Q2.format(k=16))
+def bdb_q2_hash(s, d):
+    return _q2(s, d, 16)
+
+
+@query(_Q2.format(k=8))
+def padded_groupby_reveal(s, d):
+    return P.pad_multiple(_q2(s, d, 8), 400_000).reveal()
+
+
+@query("SELECT *  FROM rankings JOIN uservisits ON pageURL = destURL")
+def join_pkfk_keep_key(s, d):
+    return R.pk_fk_join(rankings(s, d), uservisits(s, d), "pageURL", "destURL")
+
+
+@query("SELECT rankings.*, sourceIP, visitDate, adRevenue, duration FROM rankings JOIN uservisits ON pageURL = destURL")
+def join_hash_drop_key(s, d):
+    return R.equi_join(rankings(s, d), uservisits(s, d), "pageURL", "destURL", keep_right_key=False, hint="shuffle_hash")
+
+
+@query("SELECT * FROM rankings JOIN uservisits ON pageURL = destURL")
+def join_sort_merge(s, d):
+    return R.equi_join(rankings(s, d), uservisits(s, d), "pageURL", "destURL", hint="merge")
+
+
+@query("SELECT * FROM rankings JOIN uservisits ON pageURL = destURL")
+def padded_join_reveal(s, d):
+    visits = uservisits(s, d)
+    return P.pad_private(R.pk_fk_join(rankings(s, d), visits, "pageURL", "destURL"), visits.count(), 8192, 1.02, seed=1).reveal()
+
+
+@query("SELECT rankings.*, destURL, sourceIP, visitDate, adRevenue FROM rankings JOIN uservisits ON pageURL = destURL WHERE visitDate > 19960101 AND visitDate < 19990101")
+def join_filtered_pkfk(s, d):
+    visits = R.filter_project(uservisits(s, d), [Clause("visitDate", ">", 19960101), Clause("visitDate", "<", 19990101)], _VISIT)
+    return R.pk_fk_join(rankings(s, d), visits, "pageURL", "destURL")
+
+
+@query("SELECT cast(sum(pageRank) // count(*) as bigint) AS avg_rank, cast(sum(adRevenue) as bigint) AS sum_revenue, substr(sourceIP, 1, 8) AS prefix FROM rankings JOIN uservisits ON pageURL = destURL WHERE visitDate > 19960101 AND visitDate < 19990101 GROUP BY substr(sourceIP, 1, 8) ORDER BY sum_revenue DESC, prefix LIMIT 1")
+def bdb_q3(s, d):
+    visits = R.filter_project(uservisits(s, d), [Clause("visitDate", ">", 19960101), Clause("visitDate", "<", 19990101)], _VISIT)
+    joined = R.equi_join(rankings(s, d), visits, "pageURL", "destURL", keep_right_key=False)
+    grouped = R.group_by(joined, "sourceIP", [("INT_AVG", "pageRank", "avg_rank"), ("SUM", "adRevenue", "sum_revenue")], 8, "prefix")
+    return R.order_by(grouped, ("sum_revenue", False), ("prefix", True), limit=1)
+
+
+@query("SELECT pageURL, pageRank, row_number() OVER (ORDER BY pageRank, pageURL) AS rank FROM rankings")
+def orderby_asc_ranked(s, d):
+    return R.ranked(rankings(s, d).select("pageURL", "pageRank"), ("pageRank", True), ("pageURL", True))
+
+
+@query("SELECT pageURL, pageRank, row_number() OVER (ORDER BY pageRank DESC, pageURL) AS rank FROM rankings")
+def orderby_desc_ranked(s, d):
+    return R.ranked(rankings(s, d).select("pageURL", "pageRank"), ("pageRank", False), ("pageURL", True))
+
+
+@query("SELECT pageURL, pageRank FROM rankings ORDER BY pageRank DESC, pageURL LIMIT 25")
+def topk(s, d):
+    return R.order_by(rankings(s, d).select("pageURL", "pageRank"), ("pageRank", False), ("pageURL", True), limit=25)
+
+
+@query("SELECT true AS is_sorted")
+def sort_check(s, d):
+    r = R.ranked(rankings(s, d).select("pageURL", "pageRank"), ("pageRank", False), ("pageURL", True))
+    return R.is_sorted(r, ("pageRank", False), ("pageURL", True), position="rank")
+
+
+@query("SELECT true AS ok")
+def ndv_exact_vs_kmv_ok(s, d):
+    r = rankings(s, d)
+    exact, kmv = r.select("pageURL").distinct().count(), P.distinct_count_kmv(r, "pageURL", t=1000, epsilon_noise=False)
+    return s.range(1).select(F.lit(0.9 * exact <= kmv <= 1.25 * exact).alias("ok"))
+
+
+@query("SELECT true AS ok")
+def ndv_hll_ok(s, d):
+    r = rankings(s, d)
+    exact, hll = r.select("pageURL").distinct().count(), P.distinct_count_hll(r, "pageURL")
+    return s.range(1).select(F.lit(abs(hll - exact) <= 0.1 * exact).alias("ok"))
+
+
+@query("SELECT cast(o_orderkey // 1024 as bigint) AS batch_id, cast(sum(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)) OVER (ORDER BY o_orderkey // 1024) as bigint) AS prefix FROM orders GROUP BY o_orderkey // 1024")
+def dp_prefix_true_counts(s, d):
+    orders = s.read.parquet(f"{d}/orders.parquet")
+    counts = P.batch_counts(orders, F.col("o_totalprice") > 100000, 1024, "o_orderkey")
+    return P.prefix_sums(counts, 1024, 1.02, seed=1).select("batch_id", "prefix")
+
+
+@query("SELECT pageURL, pageRank, avgDuration FROM rankings")
+def encrypt_roundtrip(s, d):
+    r, key = rankings(s, d), session_key()
+    return decrypt_rows(encrypt_rows(r, key), key, r.schema)
+
+
+@query("SELECT l_orderkey, l_linenumber, cast(year(l_shipdate)*10000+month(l_shipdate)*100+day(l_shipdate) as int) AS visitDate FROM lineitem")
+def date_int_encode(s, d):
+    return s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", date_int("l_shipdate").alias("visitDate"))
+
+
+@query("SELECT l_orderkey, l_linenumber, cast(floor(l_extendedprice*100) as int) AS cents FROM lineitem")
+def cents_encode(s, d):
+    return s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", cents("l_extendedprice").alias("cents"))

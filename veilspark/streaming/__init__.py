@@ -1,0 +1 @@
+"""The engine that this package re-expresses has no streaming; its row batches live in operators.private."""
