@@ -138,20 +138,22 @@ def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
             chosen.append(pair)
             if len(chosen) == PER_ROUND:
                 break
-        is_left, is_right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        is_left[list(left)], is_right[list(right)] = True, True
         pairs = np.array(chosen, np.uint32)
-        by = np.argsort(pairs)
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        found = np.minimum(np.searchsorted(pairs[by], keys[at]), len(pairs) - 1)
-        hit = pairs[by][found] == keys[at]
-        at, found = at[hit], found[hit]
+        lefts, rights = np.unique(pairs >> np.uint32(16)), np.unique(pairs & np.uint32(0xFFFF))
+        row, column = np.full(1 << 16, -1, np.int32), np.full(1 << 16, -1, np.int32)
+        row[lefts], column[rights] = np.arange(len(lefts)), np.arange(len(rights))
+        rule = np.full(len(lefts) * len(rights), -1, np.int32)  # by row and column
+        rule[row[pairs >> np.uint32(16)] * len(rights) + column[pairs & np.uint32(0xFFFF)]] = np.arange(len(pairs))
+        r, c = row[seq[:-1]], column[seq[1:]]
+        at = np.flatnonzero((r >= 0) & (c >= 0))
+        found = rule[r[at] * len(rights) + c[at]]
+        at, found = at[found >= 0], found[found >= 0]
         same = seq[at] == seq[at + 1]
         if same.any():  # in a run of one symbol every second place counts
             new = np.concatenate(([True], np.diff(at) != 1))
             offset = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
             at, found = at[offset % 2 == 0], found[offset % 2 == 0]
-        seq[at] = (total + by[found]).astype(np.uint32)
+        seq[at] = (total + found).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
@@ -160,21 +162,25 @@ def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return seq, np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
 
 
-def expansions(rules: np.ndarray, base: int) -> list[np.ndarray]:
-    """What each nonterminal stands for."""
-    out: list[np.ndarray] = []
-    one = lambda s: np.array([s], np.uint32) if s < base else out[s - base]
-    for a, b in rules.tolist():
-        out.append(np.concatenate((one(a), one(b))))
-    return out
+def expansions(rules: np.ndarray, base: int) -> np.ndarray:
+    """What the nonterminals stand for, one after another: each pass replaces all nonterminals by their pairs."""
+    seq = rules.ravel()
+    while (inner := seq >= base).any():
+        n = 1 + inner
+        out, at = np.repeat(seq, n), np.cumsum(n) - n
+        pairs = rules[seq[inner] - base]
+        out[at[inner]], out[at[inner] + 1] = pairs[:, 0], pairs[:, 1]
+        seq = out
+    return seq
 
 
 def write_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, base: int) -> bytes:
     """header, rules, expansion lengths, offsets, sequence, then the documents: ids, whether null, token counts."""
     seq, rules = repair(ids, base)
-    lengths = np.ones(base + len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[base + i] = lengths[a] + lengths[b]
+    sums = [1] * base
+    for a, b in rules.tolist():
+        sums.append(sums[a] + sums[b])
+    lengths = np.array(sums, np.uint32)
     ends = np.cumsum(lengths[seq], dtype=np.uint64)
     index = np.concatenate((np.zeros(1, np.uint64), ends))[:-1:STRIDE] if len(seq) else np.zeros(0, np.uint64)
     null = np.array([d is None for d in doc_ids], np.uint8)
@@ -204,10 +210,9 @@ class Shard:
         self.index = take(np.uint64, -(-n_seq // STRIDE))
         self.seq = take(wide, n_seq)
         self.docs, self.null, self.counts = take(np.int64, n_docs), take(np.uint8, n_docs).astype(bool), take(np.uint32, n_docs).astype(np.int64)
-        parts = expansions(self.rules, self.base)
         self.length = np.concatenate((np.ones(self.base, np.int64), self.lengths.astype(np.int64)))
         self.start = np.concatenate((np.arange(self.base), self.base + np.cumsum(self.lengths, dtype=np.int64) - self.lengths))
-        self.flat = np.concatenate([np.arange(self.base, dtype=np.uint32), *parts])
+        self.flat = np.concatenate((np.arange(self.base, dtype=np.uint32), expansions(self.rules, self.base)))
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
         n = self.length[seq]
