@@ -289,7 +289,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
     # One row per part, i.e. per task that wrote; their number is a setting, not a property of the data
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = parts.selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) base")
-    read = shards.select("part", "before", "payload").repartition(partitions(shards.sparkSession)).mapInArrow(_read, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    read = shards.select("part", "before", "payload").mapInArrow(_read, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return read.join(F.broadcast(base), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
