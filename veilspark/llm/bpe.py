@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veilspark.llm.common import sized_batches
+from veilspark.llm.common import bound_batches, sized_batches
 
 #: Bounds of the per-worker cache: entries, and the longest fragment that is kept.
-CACHE, LONGEST = 400_000, 48
+CACHE, LONGEST = 250_000, 48
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -190,7 +190,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [bpe.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -202,7 +202,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column("doc_id"), pa.array([bpe.decode(np.array(i or [], np.int64)).decode() for i in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return bound_batches(encoded).select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -224,4 +224,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bound_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

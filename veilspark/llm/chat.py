@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import partitions
+from veilspark.llm.common import bound_batches, partitions
 
 #: Turns of a window.
 WINDOW = 64
@@ -130,7 +130,7 @@ def format_conversations(conversations: DataFrame, template: Template = inst_tem
         if rows:
             yield table()
 
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = bound_batches(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
     dealt = rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", *order)
     return dealt.mapInArrow(run, "conv_id long, piece long, before long, formatted string, starts array<int>, ends array<int>")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import freeze, mix64, partitions, sized_batches, string_bytes
+from veilspark.llm.common import bound_batches, freeze, mix64, partitions, sized_batches, string_bytes
 from veilspark.llm.components import components
 from veilspark.llm.shingles import shingle_sets
 
@@ -335,7 +335,7 @@ def _links_of(step: DataFrame, told: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``."""
     num, den = percent, 100
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = freeze(docs.mapInArrow(_statistics(k), "kind int, doc_id long, n long, f1 long, f2 long"), "shingle-stats")
     # A bounded list, whatever the corpus: the HOT most frequent shingles
     hot = seen.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f1").limit(HOT).collect()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import sized_batches
+from veilspark.llm.common import bound_batches, sized_batches
 
 # The patterns and least lengths of the base rules
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -138,7 +138,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """
     import hashlib
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ratio = train(docs)
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
@@ -159,7 +159,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, each secret in ``text`` replaced by ``mark``; ``n_chars`` follows where there is one."""
-    ratio = train(docs.select("doc_id", "text"))
+    ratio = train(bound_batches(docs).select("doc_id", "text"))
     at, measured = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def clean(text: str | None) -> str | None:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.bpe import byte_symbols
-from veilspark.llm.common import freeze, partitions, sized_batches
+from veilspark.llm.common import bound_batches, freeze, partitions, sized_batches
 
 #: Ids in a shard before it is closed (a document stays in one shard), symbols between two offsets of the index.
 SHARD, STRIDE = 1_000_000, 1024
@@ -268,7 +268,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2) -> D
     Nulls of doc_id come first, rows of one doc_id are ordered by text; a null or empty text has the end id only.
     An empty table gives no shard.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = docs.repartitionByRange(max(4, partitions(docs.sparkSession)), *order).sortWithinPartitions(*order, "text")
     return dealt.mapInArrow(_write(path or default_vocabulary(), end_id), SHARDS)

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import sized_batches
+from veilspark.llm.common import bound_batches, sized_batches
 
-#: Bounds of the training sample: rows of a class, characters of each text.
-SAMPLE, SAMPLE_CHARS = 4000, 20_000
+#: Bounds of the training sample: rows of a class, characters of each text; characters that the base is trained on.
+SAMPLE, SAMPLE_CHARS, SAMPLES = 3000, 12_000, 6_000_000
 #: Bytes of class segments and of the base; the likelihood score and count that make a segment specific; words in a
 #: window; zstandard's level.
 SPECIFIC, BASE, SCORE, RECURS, WINDOW, LEVEL = 2048, 65536, 7.5, 3, 32, 9
@@ -96,24 +96,28 @@ def train(rows: list[tuple[str, int]], share: float | None = None) -> dict:
         words = _words(text)
         marks = {m for i in range(len(words) - 4) if (m := zlib.crc32(" ".join(words[i : i + 5]).encode())) % 8 == 0} or {text}
         if len(marks & seen) * 3 < len(marks):  # no near copy of an earlier one
-            (fit, rest)[(len(fit) + len(rest)) % 3 == 2].append((words, text, label))
+            (fit, rest)[(len(fit) + len(rest)) % 3 == 2].append((text, label))
         seen |= marks
     counts, sizes = (Counter(), Counter()), [0, 0]
-    for words, _, label in fit:
-        counts[label].update(set(words))
+    for text, label in fit:
+        counts[label].update(set(_words(text)))
         sizes[label] += 1
-    samples = [w for words, _, label in fit if not label for w in _windows(words)]
+    samples, size = [], 0
+    for text, label in fit:
+        if not label and size < SAMPLES:
+            samples += _windows(_words(text))
+            size += len(text)
     try:
         base = z.train_dictionary(BASE, samples).as_bytes()
     except z.ZstdError:  # too little text to train on
         base = b"".join(samples)[:BASE]
     toxic, ordinary = _specific(counts[1], sizes[1], counts[0], sizes[0]) + base, _specific(counts[0], sizes[0], counts[1], sizes[1]) + base
     model = {"toxic": toxic, "ordinary": ordinary, "weights": [0.0, 0.0, 0.0], "bias": -9.0}
-    calibrate = rest if any(label for _, _, label in rest) and not all(label for _, _, label in rest) else fit
+    calibrate = rest if any(label for _, label in rest) and not all(label for _, label in rest) else fit
     if not sizes[1] or not sizes[0]:
         return model | {"bias": 9.0 if sizes[1] else -9.0}
-    x = np.array([[*features(text, toxic, ordinary), 1.0] for _, text, _ in calibrate])
-    y = np.array([label for _, _, label in calibrate], float)
+    x = np.array([[*features(text, toxic, ordinary), 1.0] for text, _ in calibrate])
+    y = np.array([label for _, label in calibrate], float)
     of_all = share if share else y.mean()
     weight = np.where(y == 1, of_all / y.mean(), (1 - of_all) / (1 - y.mean()))
     w = np.zeros(4)
@@ -152,7 +156,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null, empty or wordless text gets the score of a text without any saving; without labels of both classes the
     score is a constant. Rows repeating a doc_id each give a row; held_out of a null doc_id is false.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(*training_rows(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,4 +175,4 @@ def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in sized_batches(batches, "text", 4 << 20):
             yield batch.filter(pa.array([score(t, model) < THRESHOLD for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bound_batches(docs).mapInArrow(run, docs.schema)

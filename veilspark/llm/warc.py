@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import freeze, partitions, sized_batches
+from veilspark.llm.common import bound_batches, freeze, partitions, sized_batches
 
 #: Payload bytes below which a record is never a revisit; bytes of a segment; captures in a block of a run.
 LEAST_REVISIT, SEGMENT, BLOCK = 1000, 8 << 20, 2048
@@ -90,7 +90,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     Of equal payloads of LEAST_REVISIT bytes or more, that of the largest page_id is the response, others revisit it;
     a row repeating that page_id is a response as well. A null html is empty; a null page_id is a response.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = bound_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("large", F.octet_length("html") >= LEAST_REVISIT)
     # partial sums leave one row per task and digest; most digests are single and need no join partner
     first = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response", F.lit(True).alias("large"))
@@ -255,7 +255,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def capture_index(archives: DataFrame) -> DataFrame:
     """The captures of all segments; ``position`` ascends with (url_key, timestamp, page_id) over the whole index."""
-    spark = archives.sparkSession
+    spark = bound_batches(archives).sparkSession
     runs = freeze(archives.repartition(partitions(spark)).mapInArrow(_runs, _RUN), "capture-runs")
     total = runs.where("seq = -1").agg(F.sum("n")).first()[0] or 0
     ranges = min(MAX_RANGES, max(1, -(-total // RANGE)))
