@@ -46,7 +46,7 @@ def bound_batches(df: DataFrame) -> DataFrame:
     """Session settings for what Spark sends to Python at once, so that a worker's memory doesn't follow long texts."""
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = str(conf.get(key, "0")).rstrip("bB")
+        now = str(conf.get(key)).rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
     return df
