@@ -365,9 +365,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     for draw in range(DRAWS):
         some = freeze(by_sets(spread(_links_of(step, told)).mapInArrow(_rest(num, den, draw), "a long, b long")), "pairs")
         more = freeze(verified(one_text, some, k, num, den), "links")
-        if more.isEmpty():
+        links = more.count()
+        if links:
+            told = freeze(components(more.union(told.toDF("a", "b"))).where("node <> label"), "labels")
+        if 20 * links < some.count():  # draws no longer pay
             break
-        told = freeze(components(more.union(told.toDF("a", "b"))).where("node <> label"), "labels")
     rest = freeze(by_sets(spread(_links_of(step, told)).mapInArrow(_rest(num, den), "a long, b long")), "pairs")
     second = freeze(verified(one_text, rest, k, num, den), "links")
     final = told
