@@ -332,6 +332,15 @@ def _links_of(step: DataFrame, told: DataFrame) -> DataFrame:
     return step.where("kind = 2").select("bucket", "token", "doc", "size", "place", *none).unionByName(maps.select("bucket", *blob, "node", "label"))
 
 
+def _merged(told: DataFrame, links: DataFrame) -> DataFrame:
+    """``told(node, label)`` after more links: only the labels that these name go through the rounds."""
+    for c in ("a", "b"):
+        links = links.join(told.select(F.col("node").alias(c), "label"), c, "left").withColumn(c, F.coalesce("label", c)).drop("label")
+    moved = freeze(components(links).where("node <> label"), "labels")
+    to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return freeze(told.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")).union(moved), "labels")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``."""
     num, den = percent, 100
@@ -367,15 +376,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         more = freeze(verified(one_text, some, k, num, den), "links")
         links = more.count()
         if links:
-            told = freeze(components(more.union(told.toDF("a", "b"))).where("node <> label"), "labels")
-        if 20 * links < some.count():  # draws no longer pay
+            told = _merged(told, more)
+        if 20 * links <= some.count():  # draws no longer pay
             break
     rest = freeze(by_sets(spread(_links_of(step, told)).mapInArrow(_rest(num, den), "a long, b long")), "pairs")
     second = freeze(verified(one_text, rest, k, num, den), "links")
-    final = told
-    if not second.isEmpty():
-        final = components(second.union(told.toDF("a", "b"))).where("node <> label")
-    final = final.select(F.col("node").alias("doc_id"), "label")
+    final = (told if second.isEmpty() else _merged(told, second)).select(F.col("node").alias("doc_id"), "label")
     return stats.join(final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
