@@ -117,3 +117,15 @@ def test_small_helpers(spark):
     with pytest.raises(ValueError):
         c.create("tab", r.schema)
     assert c.drop("tab") and not c.exists("tab")
+
+
+def test_sorted_across_blocks(spark):
+    one = spark.range(30_000).withColumn("v", F.col("id"))
+    swapped = one.withColumn("v", F.when(F.col("id") < 10_000, F.col("id") + 10_000).when(F.col("id") < 20_000, F.col("id") - 10_000).otherwise(F.col("id")))
+    tie = one.select("id", F.lit(1).alias("u"), F.when(F.col("id") < 20_000, 2).otherwise(1).alias("v"))
+    gap = one.where("id < 5000 or id >= 25000").withColumn("v", F.when(F.col("id") < 5000, 1).otherwise(0))
+    check = lambda df, *by: R.is_sorted(df, *by, position="id").first().is_sorted
+    assert check(one, ("v", True)) and not check(one, ("v", False))
+    assert not check(swapped, ("v", True)) and not check(gap, ("v", True)) and check(gap, ("v", False))
+    assert not check(tie, ("u", True), ("v", True)) and check(tie, ("u", True), ("v", False))
+    assert check(one.limit(0), ("v", True))

@@ -114,10 +114,18 @@ def ranked(df: DataFrame, *columns: tuple[str, bool], name: str = "rank") -> Dat
 
 def is_sorted(df: DataFrame, *columns: tuple[str, bool], position: str) -> DataFrame:
     """One row, ``is_sorted``: no neighbours by ``position`` are out of order. For numbers; nulls count as equal."""
-    spans = Window.partitionBy(F.floor(F.col(position) / 10000)).orderBy(position)
-    wrong = F.lit(False)
-    for c, up in reversed(columns):
-        now, last = F.col(f"`{c}`"), F.lag(f"`{c}`").over(spans)
-        wrong = (now < last if up else now > last) | ((now == last) & wrong)
-    inside = df.select(F.coalesce(wrong, F.lit(False)).alias("w")).agg(F.max("w").alias("w"))
-    return inside.select((~F.coalesce("w", F.lit(False))).alias("is_sorted"))
+    block = df.withColumn("__b", F.floor(F.col(position) / 10000))
+
+    def wrong(now: Column, last: Column) -> Column:
+        out = F.lit(False)
+        for c, up in reversed(columns):
+            a, b = now[c], last[c]
+            out = (a < b if up else a > b) | ((a == b) & out)
+        return F.coalesce(out, F.lit(False))
+
+    row = F.struct(*[F.col(f"`{c}`") for c, _ in columns])
+    inside = block.select(wrong(row, F.lag(row).over(Window.partitionBy("__b").orderBy(position))).alias("w")).agg(F.max("w").alias("w"))
+    # the last row of a block against the first one of the next: one row per block
+    ends = block.where(F.col(position).isNotNull()).groupBy("__b").agg(F.min_by(row, position).alias("first"), F.max_by(row, position).alias("last"))
+    between = ends.select(wrong(F.col("first"), F.lag("last").over(Window.orderBy("__b"))).alias("w")).agg(F.max("w").alias("w"))
+    return inside.union(between).agg((~F.coalesce(F.max("w"), F.lit(False))).alias("is_sorted"))
