@@ -146,6 +146,19 @@ def test_outliers(spark):
     assert all(r[7] == (r[0] < 1000) for r in a)
 
 
+def test_outliers_of_small_groups(spark):
+    rng = random.Random(7)
+    plain = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(80, 200)))
+    junk = lambda: " ".join("ab%%%" + str(rng.random()) + "###$$" for _ in range(100))
+    rows = [(i, plain(), "en", f"s{i % 20}") for i in range(300)] + [(400 + i, plain(), "de", f"s{i % 4}") for i in range(40)]
+    # a source and a language of a single document each, beside groups and a language of fewer than LEAST
+    rows += [(1000, junk(), "en", "s1"), (1001, junk(), "en", "alone"), (1002, junk(), "de", "s1"), (1003, junk(), None, None)]
+    out = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.kept == (r.doc_id < 1000) and r.distance2 is not None for r in out) and len(out) == len(rows)
+    one = quality.quality(spark.createDataFrame(rows[:1], "doc_id long, text string, lang string, source string")).collect()
+    assert [r.kept for r in one] == [True]
+
+
 def test_robust_estimate_against_numpy(spark):
     rng = np.random.default_rng(1)
     x = np.round(np.vstack([rng.normal(0, 1, (400, 5)) @ np.diag([3, 2, 1, 4, 2]) + 10, rng.normal(40, 1, (40, 5))]) * quality.UNIT).astype(int)

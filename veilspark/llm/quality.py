@@ -4,7 +4,8 @@ Base statistics come from array functions over a text's words and lines. For eac
 covariance determinant of the transformed statistics is estimated over all documents that pass the base rules: from
 two starts (quartiles; a winsorised covariance) concentration steps keep the nearest ALPHA of the documents, the
 start of the smaller determinant wins, and one reweighting step follows. A document is rejected if its squared
-Mahalanobis distance exceeds CUT.
+Mahalanobis distance exceeds CUT. A group of fewer than LEAST such documents is judged by the estimate of all documents
+of its language, and a language of fewer by that of the whole table, however small: every document is judged.
 
 Every step is one scan of a small table of statistics with partial sums: distances are binned on a logarithmic scale,
 and each bin has its count and moments, so finding the nearest ALPHA and their moments is one aggregation, whatever
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import NOT_WORD, SEPARATORS, freeze
 
-#: Fixed-point units; share of a group that an estimate rests on; concentration steps; documents that a group needs.
+#: Fixed-point units; share of a group that an estimate rests on; concentration steps; documents that an estimate of a group or language needs.
 UNIT, ALPHA, STEPS, LEAST = 256, 0.75, 3, 50
 #: Consistency factor of ALPHA for five normal statistics (ALPHA over P(chi2 with 7 degrees <= 75 % quantile with 5)).
 CONSISTENT = 1.41
@@ -32,6 +33,9 @@ FLOORS = (0.25, 0.05, 0.35, 0.35, 0.35)
 #: Bins of a distance: so many to a factor e.
 BINS = 16
 
+#: The key of the whole table among those of groups and languages, which are hashes.
+WHOLE = 0
+
 P = len(FLOORS)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 X = [f"x{i}" for i in range(P)]
@@ -64,11 +68,12 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _vector(df: DataFrame) -> DataFrame:
-    """Fixed-point statistics x0..x4 and the group's key."""
+    """Fixed-point statistics x0..x4 and the keys of the group and of its language."""
     n = F.greatest("n_words", F.lit(1))
     parts = [F.log1p("n_words"), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), F.log1p(100 * F.col("n_symbols") / n), F.log1p(100 * F.col("n_repeat_words") / n), F.log1p("n_dup_lines")]
     g = F.xxhash64("lang", F.isnull("lang"), "source", F.isnull("source"))
-    return df.select("*", g.alias("g"), *[F.round(x * UNIT).cast("long").alias(c) for c, x in zip(X, parts, strict=True)])
+    pool = F.xxhash64("lang", F.isnull("lang"))
+    return df.select("*", g.alias("g"), pool.alias("l"), *[F.round(x * UNIT).cast("long").alias(c) for c, x in zip(X, parts, strict=True)])
 
 
 def _square():
@@ -132,8 +137,8 @@ def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 
 
 def group_estimates(rows: DataFrame) -> DataFrame:
-    """(g, m*, w*, logdet) for each group of ``rows(g, x0..x4)`` with LEAST documents."""
-    quartiles = freeze(_quartiles(rows).where(F.col("n") >= LEAST), "quality-quartiles")
+    """(g, m*, w*, logdet) for each group of ``rows(g, x0..x4)``."""
+    quartiles = freeze(_quartiles(rows), "quality-quartiles")
     estimate = freeze(_starts(rows, quartiles), "quality-start")
     for _ in range(STEPS):
         estimate = freeze(_concentrate(rows, estimate), "quality-step")
@@ -142,16 +147,28 @@ def group_estimates(rows: DataFrame) -> DataFrame:
     return freeze(_estimate(weighed, ["g"], 1.0), "quality-final")
 
 
+def _judges(rows: DataFrame) -> DataFrame:
+    """(g, by) for each group of ``rows(g, l)``: the key of the estimate that judges it."""
+    sizes = rows.groupBy("g", "l").agg(F.count("*").alias("n"))
+    pools = sizes.groupBy("l").agg(F.sum("n").alias("of_l"))
+    by = F.when(F.col("n") >= LEAST, F.col("g")).when(F.col("of_l") >= LEAST, F.col("l")).otherwise(F.lit(WHOLE).cast("long"))
+    return sizes.join(pools, "l").select("g", by.alias("by"))
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text, lang, source)``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept and distance2 (null where no estimate judges the document).
+    n_repeat_words, base_failed, kept and distance2 (null where the base rules reject the document).
 
-    A null language or source is a value of its own. A group of fewer than LEAST passing documents has no estimate
-    and keeps what passes the base rules. Rows repeating a doc_id each give a row.
+    A null language or source is a value of its own. A group of fewer than LEAST passing documents is judged by its
+    language's estimate, or by the whole table's. Rows repeating a doc_id each give a row.
     """
     base = base_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")).drop("text")
     table = freeze(_vector(base).drop("lang", "source"), "quality")
-    estimates = group_estimates(table.where(~F.col("base_failed")).select("g", *X)).drop("logdet")
-    judged = table.join(estimates, "g", "left").withColumn("distance2", F.when(~F.col("base_failed"), _square()))
-    kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUT)
+    passing = table.where(~F.col("base_failed"))
+    judges = freeze(_judges(passing), "quality-judges")
+    # a document counts in the estimates of its group, its language and the whole table, of which those are made that judge
+    levels = passing.select(F.explode(F.array("g", "l", F.lit(WHOLE).cast("long"))).alias("by"), *X).join(judges.select("by").distinct(), "by", "left_semi")
+    estimates = group_estimates(freeze(levels.withColumnRenamed("by", "g"), "quality-levels")).drop("logdet").withColumnRenamed("g", "by")
+    judged = table.join(judges.join(estimates, "by"), "g", "left").withColumn("distance2", F.when(~F.col("base_failed"), _square()))
+    kept = ~F.col("base_failed") & (F.col("distance2") <= CUT)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")
