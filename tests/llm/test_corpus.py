@@ -208,6 +208,30 @@ def test_chat(spark):
         chat.spans(lambda turns, before: f"{len(turns)} turns: " + "".join(t for _, t in turns), [("user", "a"), ("user", "b")])
 
 
+def test_chat_rewrites_across_windows(spark):
+    df = spark.range(130).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('t', id) text")
+
+    def trims(turns, before=0):  # a turn is shortened once it has 65 behind it
+        return "".join(t[:1] if len(turns) - i > 65 else f"{t};" for i, (_, t) in enumerate(turns))
+
+    def folds(turns, before=0):  # turn 65 changes those before it
+        return "".join(f"{t};" if i == len(turns) - 1 else f"{t}," for i, (_, t) in enumerate(turns)) if len(turns) + before == 65 else "".join(f"{t};" for _, t in turns)
+
+    def plain(turns, before=0):
+        return "".join(f"<{before + i}>{t}" for i, (_, t) in enumerate(turns))
+
+    for template in (trims, folds):
+        with pytest.raises(Exception, match="RewritesHistory"):
+            chat.format_conversations(df, template).collect()
+    folds.append_only = True
+    with pytest.raises(Exception, match="RewritesHistory"):
+        chat.format_conversations(df, folds).collect()
+    whole = [tuple(r) for r in chat.format_conversations(df, plain).collect()]
+    plain.append_only = True
+    assert whole == [tuple(r) for r in chat.format_conversations(df, plain).collect()] and [r[2] for r in whole] == [0, 64, 128]
+    assert "".join(r[3][s:e] for r in whole for s, e in zip(r[4], r[5], strict=True)) == "".join(f"<{i}>t{i}" for i in range(130))
+
+
 def test_warc(spark, monkeypatch):
     big = "é" * 700
     pages = [(1, "http://b.com/x?y=1", big, 0), (2, "https://a.org:444/", big, 0), (9, "http://b.com/", big, 0), (9, "http://c.net", big, 0), (3, None, None, 0), (4, "", "small", 0), (5, "u\r\nWARC-Type: revisit", "small", 0), (None, "http://n.com", big, 0), (7, "http://b.com/x", "WARC/1.1\r\n\r\n" * 200, 0)]

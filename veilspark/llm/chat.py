@@ -4,9 +4,15 @@ A template is any function from turns to text. To learn which characters a turn
 turns are rendered and consecutive outputs compared: what an output adds behind the one before is that turn's span.
 A template whose next output doesn't extend the last one rewrites history; this is detected, and spans are refused.
 
-A conversation is rendered in windows of WINDOW turns; the template gets the number of turns before the window, so a
-window's first output extends the text so far. Memory and time follow the window, not the conversation: rows arrive
-sorted and are handled as a stream, also where one conversation has most of them.
+Any template is rendered for every prefix from turn 1 on, so a rewrite at whatever distance is detected; a conversation's
+turns are held at once, and its time grows with the square of their number.
+
+A template that is declared append-only (``append_only = True`` on the function) is rendered in windows of WINDOW turns;
+it gets the number of turns before the window, so a window's first output extends the text so far. Memory and time
+follow the window, not the conversation: rows arrive sorted and are handled as a stream, also where one conversation
+has most of them. Across each edge the window with the next turn must be the window's text and that turn's span; what
+a template does to still earlier windows is taken from the declaration. ``inst_template`` is declared: each turn's text
+depends on that turn and on whether it is the first.
 """
 
 from __future__ import annotations
@@ -57,6 +63,9 @@ def inst_template(turns: list[Turn], before: int = 0) -> str:
     return "".join(out)
 
 
+inst_template.append_only = True
+
+
 def read_span(span: str) -> tuple[str, str, int, int]:
     """(role, text, start, end) of one turn's span of the template above; start and end are the text's, escaped."""
     if span.startswith("<s>[INST] "):
@@ -83,13 +92,20 @@ def spans(template: Template, turns: list[Turn], before: int = 0) -> list[tuple[
     return out
 
 
+def _join(template: Template, window: tuple[int, list[Turn], str], turn: Turn, span: str) -> None:
+    """The window (turns before, turns, text) with one more turn is its text and the span that this turn has by itself."""
+    before, turns, text = window
+    if template([*turns, turn], before) != text + span:
+        raise RewritesHistory(f"turn {before + len(turns) + 1} changes what was rendered before, or its text depends on earlier turns: the template is not append-only")
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int | None, int, list[Turn]]]:
-    """(conv_id, turns before, turns) of sorted rows."""
+def _windows(batches: Iterator[pa.RecordBatch], size: int | None) -> Iterator[tuple[int | None, int, list[Turn]]]:
+    """(conv_id, turns before, turns) of sorted rows; without a size, whole conversations."""
     now, before, held, any_row = None, 0, [], False
     for conv, role, text in _rows(batches):
         if any_row and conv != now or len(held) == size:
@@ -106,8 +122,9 @@ def format_conversations(conversations: DataFrame, template: Template = inst_tem
     """(conv_id, piece, before, formatted, starts, ends): a conversation's formatted text in consecutive pieces of up
     to WINDOW turns, with the spans of the turns within the piece. Turns are ordered by turn (nulls first), then role
     and text; a null role or text is empty; rows of a null conv_id are one conversation. Rows of a conversation are in
-    one partition, its pieces in order.
+    one partition, its pieces in order. A template that rewrites history raises RewritesHistory in the task.
     """
+    size_of_window = WINDOW if getattr(template, "append_only", False) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -118,11 +135,17 @@ def format_conversations(conversations: DataFrame, template: Template = inst_tem
             rows.clear()
             return out
 
-        size = 0
-        for conv, before, turns in _windows(batches, WINDOW):
+        size, last = 0, (0, [], "")
+        for conv, before, turns in _windows(batches, size_of_window):
             at = spans(template, turns, before)
             text = template(turns, before)
-            rows.append((conv, before // WINDOW, before, text, [s for s, _ in at], [e for _, e in at]))
+            if before:
+                _join(template, last, turns[0], text[: at[0][1]])
+            last = before, turns, text
+            for i in range(0, len(turns), WINDOW):
+                piece = at[i : i + WINDOW]
+                start, end = piece[0][0], piece[-1][1]
+                rows.append((conv, (before + i) // WINDOW, before + i, text[start:end], [s - start for s, _ in piece], [e - start for _, e in piece]))
             size += len(text)
             if len(rows) >= 1000 or size > 4 << 20:
                 yield table()
