@@ -82,6 +82,19 @@ def test_jaccard_of_copies_without_an_original(spark):
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == label
 
 
+def test_jaccard_of_an_id_with_several_texts(spark):
+    rng = random.Random(3)
+    # ids 5 to 14 have two texts each and a near copy of either; 30's two texts join the components of 31 and 32
+    a, b = ([" ".join(rng.choices([f"w{j}" for j in range(5000)], k=100)) for _ in range(11)] for _ in range(2))
+    rows = [(5 + i, t[i]) for i in range(10) for t in (a, b)] + [(105 + i, a[i] + " end") for i in range(10)] + [(205 + i, b[i] + " end") for i in range(10)]
+    rows += [(30, a[10]), (30, b[10]), (30, b[10]), (30, None), (31, a[10] + " end"), (32, b[10] + " end"), (None, a[10]), (40, None), (40, "")]
+    for n in (1, 5):
+        out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            assert r.component_id == (r.doc_id if r.doc_id is None or r.doc_id in (30, 40) else 30 if r.doc_id in (31, 32) else (r.doc_id - 5) % 100 + 5), r
+
+
 def test_bpe(spark, docs, empty):
     from tokenizers import Tokenizer
 

@@ -14,7 +14,8 @@ A pair left out is already connected, so components are those of the complete li
 costs m verifications, not m * m. Postings travel as packed arrays, one row per (mapper, bucket).
 
 Corner cases: null or wordless texts have an empty set, ``n_shingles`` 0, and link with nothing; rows repeating a
-doc_id get one node and one row each; a null doc_id links with nothing and its component_id is null.
+doc_id give a row each, all of one component: each text of the id is verified by itself and its links count for the id
+(a union of the texts' sets is not formed); a null doc_id links with nothing and its component_id is null.
 """
 
 from __future__ import annotations
@@ -343,8 +344,27 @@ def _merged(told: DataFrame, links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``."""
-    num, den = percent, 100
     docs = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not _repeats(docs):
+        return _text_components(docs, docs, k, percent)
+    # a repeated id may have several texts: a node is an id with one text, and nodes of one id are joined at the end
+    node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    keyed = docs.select(node.alias("node"), "doc_id", "text")
+    ids = keyed.where("node is not null").select("node", "doc_id").distinct()
+    texts = keyed.select(F.col("node").alias("doc_id"), "text")
+    parts = _text_components(texts, texts.where("doc_id is not null").dropDuplicates(["doc_id"]), k, percent).toDF("node", "n_shingles", "part")
+    rows = freeze(parts.join(ids, "node", "left").select("doc_id", "n_shingles", "part"), "node-parts")
+    of_id = rows.where("doc_id is not null").select("doc_id", "part").distinct()
+    links = of_id.join(of_id.groupBy("doc_id").agg(F.min("part").alias("a")), "doc_id").where("part <> a").select("a", F.col("part").alias("b")).distinct()
+    moved = freeze(components(freeze(links, "links")), "labels").select(F.col("node").alias("part"), F.col("label").alias("to"))
+    joined = rows.join(moved, "part", "left").select("doc_id", "n_shingles", F.coalesce("to", "part").alias("part"))
+    names = joined.where("doc_id is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return joined.join(names, "part", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _text_components(docs: DataFrame, one_text: DataFrame, k: int, percent: int) -> DataFrame:
+    """The same where rows that repeat a doc_id have one text; ``one_text`` has each doc_id once."""
+    num, den = percent, 100
     seen = freeze(docs.mapInArrow(_statistics(k), "kind int, doc_id long, n long, f1 long, f2 long"), "shingle-stats")
     # A bounded list, whatever the corpus: the HOT most frequent shingles
     hot = seen.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f1").limit(HOT).collect()
@@ -367,7 +387,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     best = step.where("kind = 0").groupBy("a", "b").agg(F.sum("times").alias("times")).groupBy("a").agg(F.max_by("b", F.struct(F.col("times"), -F.col("b"))).alias("b"))
-    one_text = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(stats) else docs
     first = freeze(verified(one_text, by_sets(best), k, num, den), "links")
     told = freeze(components(first.union(other.toDF("a", "b"))).where("node <> label"), "labels")
     # copies of no common original: a few draws of partners join most of them, so that few pairs are left for all
@@ -385,6 +404,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     return stats.join(final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def _repeats(stats: DataFrame) -> bool:
+def _repeats(docs: DataFrame) -> bool:
     """Does any doc_id occur twice? Counted by id with partial sums."""
-    return not stats.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
