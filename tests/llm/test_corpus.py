@@ -293,6 +293,22 @@ def test_toxicity(spark, docs, empty):
     assert len(none) == docs.count() and all(0 <= r.score <= 1 for r in none)
 
 
+def test_toxicity_inside_words():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    common = [word() for _ in range(400)]
+    rows = []
+    for i in range(900):
+        w = [rng.choice(common) for _ in range(rng.randint(30, 90))]
+        if i % 5 == 0:  # never twice the same word: what recurs is inside it
+            for _ in range(4):
+                w.insert(rng.randint(0, len(w)), word() + rng.choice(["scoundrel", "rottxer", "wretched"]) + word())
+        rows.append((" ".join(w), int(i % 5 == 0)))
+    model = toxicity.train(rows[:700])
+    held = [(toxicity.score(t, model) >= toxicity.THRESHOLD, y == 1) for t, y in rows[700:]]
+    assert np.mean([p == y for p, y in held]) > 0.95
+
+
 def test_mixing(spark, docs, empty, monkeypatch):
     rng = random.Random(9)
     monkeypatch.setattr(mixing, "GROUP", 40)
