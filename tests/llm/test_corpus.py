@@ -293,6 +293,13 @@ def test_toxicity(spark, docs, empty):
     assert len(none) == docs.count() and all(0 <= r.score <= 1 for r in none)
 
 
+def test_toxicity_trains_on_whole_texts(spark):
+    rows = [(i, "word " * 5000 + f"end{i}", i % 2) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got, _ = toxicity.training_rows(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert got and set(got) <= {(t, y) for _, t, y in rows}
+
+
 def test_toxicity_inside_words():
     rng = random.Random(12)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))

@@ -12,7 +12,7 @@ A text is scored by the statistics of these differences over all of its windows,
 labelled texts that neither dictionary saw. Labels, language, source and ids are no inputs of a score.
 
 Training reads a bounded sample: the ``SAMPLE`` labelled rows of each class with the smallest hashes (near copies
-count once), of at most ``SAMPLE_CHARS`` characters of each text. Scoring reads every whole text.
+count once), with their whole texts, as scoring reads them.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import bound_batches, mix64, sized_batches
 
-#: Bounds of the training sample: rows of a class, characters of each text; characters that the base is trained on.
-SAMPLE, SAMPLE_CHARS, SAMPLES = 3000, 12_000, 6_000_000
+#: Bounds of the training sample: rows of a class; characters that the base is trained on.
+SAMPLE, SAMPLES = 3000, 6_000_000
 #: Bytes of class segments and of the base; the likelihood score and count that make a segment specific; words in a
 #: window; zstandard's level.
 SPECIFIC, BASE, SCORE, RECURS, WINDOW, LEVEL = 2048, 65536, 7.5, 3, 32, 9
@@ -194,7 +194,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, i
     labels = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     order, share = F.xxhash64("doc_id", F.lit(7)), labels.agg(F.avg("toxic")).first()[0] or 0.0
     few = labels.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE).union(labels.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE))
-    chosen = docs.join(F.broadcast(few.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), "toxic")
+    chosen = docs.join(F.broadcast(few.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
     rows = chosen.orderBy(order, "doc_id", "text").limit(4 * SAMPLE).collect()
     return [(r["text"], r["toxic"]) for r in rows], share
 
