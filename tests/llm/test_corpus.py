@@ -367,6 +367,20 @@ def test_secrets(spark, docs, empty):
     assert any("[SECRET]" in (t or "") and "AKIA5" not in t for t in clean.values()) and clean[None] == "no id here"
 
 
+def test_secrets_model_of_all_documents(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join("".join(rng.choices("abcXYZ019_", k=6)) for _ in range(900 if i < 5 else 8))) for i in range(4100)]
+    want = np.zeros((secrets._N, secrets._N), np.int64)
+    for _, t in rows:
+        words = t.split(" ")
+        for token in [*words, *secrets.identifiers(words)]:
+            codes = [0, *secrets._CODE[list(token.encode())]]
+            for a, b in zip(codes, codes[1:], strict=False):
+                want[a, b] += 1
+    ratio = secrets.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert np.allclose(ratio, secrets.model(secrets.pair_counts(secrets.random_strings()), want))
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -6,8 +6,7 @@ logarithm of its likelihood ratio reaches THRESHOLD in total and MEAN per charac
 those of the patterns; they never overlap them and never remove one.
 
 Training samples are labelled: random strings over the usual alphabets from a seeded generator against the tokens of
-a bounded sample of documents (``SAMPLE`` of the smallest hashes) that no pattern matches, and identifiers built of
-their words. Only counts of character pairs leave the executors.
+all documents that no pattern matches, and identifiers built of all of these. Only counts of character pairs leave the executors.
 """
 
 from __future__ import annotations
@@ -31,7 +30,8 @@ HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 
 KINDS = ("assign", "access", "hex", "markov")
-SAMPLE = 2000
+#: Tokens that are counted at once.
+CHUNK = 4000
 #: Candidates of the models: shortest and longest piece judged at once, and the two limits in natural logarithms.
 LEAST, PIECE, THRESHOLD, MEAN = 20, 256, 24.0, 0.7
 
@@ -60,11 +60,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def pair_counts(tokens) -> np.ndarray:
     """How often each character follows each other one; 0 is the start."""
-    out = np.zeros((_N, _N), np.int64)
-    for t in tokens:
-        codes = _CODE[np.frombuffer(t.encode("ascii"), np.uint8)]
-        np.add.at(out, (np.concatenate(([0], codes[:-1])), codes), 1)
-    return out
+    codes = _CODE[np.frombuffer("".join(["\n" + t for t in tokens]).encode("ascii"), np.uint8)]  # a line's end has code 0
+    inside = codes[1:] > 0
+    return np.bincount(codes[:-1][inside] * _N + codes[1:][inside], minlength=_N * _N).reshape(_N, _N)
 
 
 def random_strings(n: int = 4000, seed: int = 11) -> list[str]:
@@ -105,7 +103,7 @@ def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, int]]
 
 
 def train(docs: DataFrame) -> np.ndarray:
-    """The ratio table, from the bounded sample of ``docs(doc_id, text)``."""
+    """The ratio table, from all rows of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((_N, _N), np.int64)
@@ -113,15 +111,14 @@ def train(docs: DataFrame) -> np.ndarray:
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text or "")
                 tokens = [m.group() for m in _ANY_TOKEN.finditer(text or "") if not any(a < m.end() and b > m.start() for a, _, b in spans)]
-                total += pair_counts([*tokens, *identifiers(tokens[:400])])
+                for start in range(0, len(tokens), CHUNK):
+                    some = tokens[start : start + CHUNK]
+                    total += pair_counts([*some, *identifiers(some)])
         i = np.flatnonzero(total)
         yield pa.record_batch([pa.array(i), pa.array(total.ravel()[i])], ["pair", "n"])
 
-    n = docs.count()
-    step = max(1, n // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
     ordinary = np.zeros(_N * _N, np.int64)
-    for r in some.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # _N * _N rows at most
+    for r in docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # _N * _N rows at most
         ordinary[r["pair"]] = r["n"]
     return model(pair_counts(random_strings()), ordinary.reshape(_N, _N))
 
