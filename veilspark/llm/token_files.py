@@ -1,7 +1,8 @@
 """Token-id shards compressed by a grammar (Re-Pair), with random access.
 
 A shard holds the ids of consecutive documents. Frequent pairs of symbols are replaced by nonterminals, again and
-again, until no pair is frequent; the shard stores the rules, each symbol's expansion length and the remaining
+again, for at most ROUNDS rounds of PER_ROUND rules, and only while symbols fit in 16 bits (a vocabulary of 63,488 ids or
+more gets no rule); so a symbol stands for at most 2**ROUNDS ids and longer repeats stay unfolded. The shard stores the rules, each symbol's expansion length and the remaining
 sequence with the token offset of every STRIDE-th symbol, so a range of tokens is decoded from its neighbourhood.
 
 One round replaces a set of frequent pairs (a, b) chosen by falling frequency such that no symbol is the left of one
