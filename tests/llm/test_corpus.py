@@ -266,6 +266,9 @@ def test_warc(spark, monkeypatch):
         to = m if m is not None and not null and m != i else None
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (n, d, "response" if to is None else "revisit", to)
     assert warc.archived_pages(df.limit(0)).count() == 0
+    few = sorted(map(tuple, warc.archived_pages(df).drop("position").collect()), key=repr)
+    monkeypatch.setattr(warc, "REPEATED", 0)  # the way for many repeated payloads
+    assert few == sorted(map(tuple, warc.archived_pages(df).drop("position").collect()), key=repr)
     runs = [sorted(random.Random(s).choices(range(50), k=s)) for s in (0, 5, 9, 1, 30)]
     assert list(warc.LoserTree([iter(r) for r in runs], key=lambda x: x)) == sorted(sum(runs, []))
 

@@ -28,6 +28,8 @@ from veilspark.llm.common import bound_batches, freeze, partitions, sized_batche
 LEAST_REVISIT, SEGMENT, BLOCK = 1000, 8 << 20, 2048
 #: Keys that a run offers for the cuts; captures in a range on average; ranges at most.
 OFFERED, RANGE, MAX_RANGES = 64, 50_000, 10_000
+#: Repeated payloads up to which their digests are broadcast; beyond, shares that a repeated digest's rows are dealt into.
+REPEATED, SHARES = 200_000, 32
 
 _EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 _CRLF = b"\r\n"
@@ -84,6 +86,21 @@ def records(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at = stop + 4
 
 
+def _referring(rows: DataFrame) -> DataFrame:
+    """``rows`` with refers_to, the response of a revisit. The digests of repeated payloads alone are gathered, from
+    partial sums with a row per task and digest. Where there are few, counted beforehand, they are broadcast and no
+    payload moves; else each one's rows are dealt into SHARES parts, so that no digest makes a task of its own."""
+    first = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response")
+    first = freeze(first, "repeated-payloads").withColumn("large", F.lit(True))
+    if first.count() <= REPEATED:
+        joined = rows.join(F.broadcast(first), ["digest", "large"], "left")
+    else:
+        share = F.pmod(F.xxhash64("page_id", "url"), F.lit(SHARES))
+        every = first.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+        joined = rows.withColumn("share", share).join(every.hint("merge"), ["digest", "large", "share"], "left")
+    return joined.withColumn("refers_to", F.when(F.col("response") != F.col("page_id"), F.col("response")))
+
+
 def write_archives(pages: DataFrame) -> DataFrame:
     """Segments (segment string, payload binary) with one record per row of ``pages(page_id, url, html)``.
 
@@ -92,9 +109,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     """
     rows = bound_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("large", F.octet_length("html") >= LEAST_REVISIT)
-    # partial sums leave one row per task and digest; most digests are single and need no join partner
-    first = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response", F.lit(True).alias("large"))
-    rows = rows.join(first, ["digest", "large"], "left").withColumn("refers_to", F.when(F.col("response") != F.col("page_id"), F.col("response")))
+    rows = _referring(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -256,7 +271,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def capture_index(archives: DataFrame) -> DataFrame:
     """The captures of all segments; ``position`` ascends with (url_key, timestamp, page_id) over the whole index."""
     spark = bound_batches(archives).sparkSession
-    runs = freeze(archives.repartition(partitions(spark)).mapInArrow(_runs, _RUN), "capture-runs")
+    runs = freeze(archives.mapInArrow(_runs, _RUN), "capture-runs")  # segments are read where they lie
     total = runs.where("seq = -1").agg(F.sum("n")).first()[0] or 0
     ranges = min(MAX_RANGES, max(1, -(-total // RANGE)))
     cuts: list[tuple] = []
