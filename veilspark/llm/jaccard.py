@@ -1,14 +1,17 @@
 """N-gram Jaccard join: a grouped prefix join on sets of distinct word shingles.
 
 Shingles are ordered by corpus frequency (rare first). Two sets with Jaccard similarity of at least t share a token
-among the first n - ceil(t n) + 1 of each, so only these prefixes are indexed. Documents of one set collapse into one
-group, and prefix lists are contracted in three steps:
-
-1. every document meets, of the centres of its prefix lists (the member with the fewest rarer shingles, as an
-   original among its near copies), the one that it shares most lists with; verified links give components;
-2. a few draws of partners in *different* components join copies that have no such original;
-3. all pairs of components that are still different and pass the size and positional filters are expanded and
-   verified.
+among the first n - ceil(t n) + 1 of each, so only these prefixes are indexed. Documents with identical prefixes and
+set size are one group: it has one posting per prefix token, and the size and positional filters judge pairs of groups.
+A pair that passes is expanded into its members, and these are verified by their whole texts. Members of one set stand
+for each other. Pairs are worked off in four steps:
+
+1. within a group, every member meets the smallest one;
+2. every group meets, of the centres of its prefix lists (the group with the fewest rarer shingles, as an original
+   among its near copies), the one that it shares most lists with, member against member; links give components;
+3. a few draws of partner groups in *different* components, one member each, join copies that have no such original;
+4. all pairs of groups whose members are still in different components, and groups that are themselves in several,
+   are expanded in full.
 
 A pair left out is already connected, so components are those of the complete link graph while a group of m copies
 costs m verifications, not m * m. Postings travel as packed arrays, one row per (mapper, bucket).
@@ -24,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bound_batches, freeze, mix64, partitions, sized_batches, string_bytes
+from veilspark.llm.common import bound_batches, discard, freeze, mix64, partitions, sized_batches, string_bytes
 from veilspark.llm.components import components
 from veilspark.llm.shingles import shingle_sets
 
@@ -35,12 +39,14 @@ from veilspark.llm.shingles import shingle_sets
 LOCAL_HOT, HOT = 1 << 14, 1 << 18
 #: Postings that a task packs at once; those in a bucket on average; rows of the hash filter in front of the text lookup (a fixed size).
 FLUSH, BUCKET, FILTER = 1_000_000, 3_000_000, 1 << 18
-#: Draws before all pairs that are left meet; partners that a document picks from each list; those kept in a bucket.
+#: Draws before all pairs that are left meet; partners that a group picks from each list; those kept in a bucket.
 DRAWS, PICKS, DRAWN = 3, 4, 64
+#: Repeated sets up to which their list is broadcast (32 bytes each).
+REPEATED = 200_000
 
 
-def _u64(x: int) -> np.uint64:
-    return np.uint64(x & 0xFFFFFFFFFFFFFFFF)
+#: Tells a group's hash of shingles from that of a whole set.
+_GROUPED = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _statistics(k: int):
@@ -77,23 +83,26 @@ def _statistics(k: int):
 
 
 def _prefixes(k: int, num: int, den: int, hot: np.ndarray, rank: np.ndarray, buckets: int):
-    """Packed postings of the prefixes of every set that is new to its task."""
+    """Packed postings (token, group, set size, place) of every group that is new to its task, and the group of each
+    document, packed in rows of a bucket below zero. A group is a hash of the set's size and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = np.zeros(1 << 20, bool)
         maybe[(hot >> np.uint64(44)).astype(np.int64)] = True
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         tokens, docs, sizes, places, held = [], [], [], [], 0
+        member, group, task = [], [], TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
-            token = np.concatenate(tokens)
+            token = np.concatenate([np.zeros(0, np.uint64), *tokens])
             each = [len(x) for x in tokens]
-            doc, size, place = np.repeat(np.array(docs, np.int64), each), np.repeat(np.array(sizes, np.uint32), each), np.concatenate(places)
+            doc, size, place = np.repeat(np.array(docs, np.int64), each), np.repeat(np.array(sizes, np.uint32), each), np.concatenate([np.zeros(0, np.uint32), *places])
             bucket = (mix64(token) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = [(b, *(x[order[s:e]].tobytes() for x in (token, doc, size, place))) for b, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if e > s]
-            for x in (tokens, docs, sizes, places):
+            rows.append((-1 - task, np.array(group, np.int64).tobytes(), np.array(member, np.int64).tobytes(), b"", b""))
+            for x in (tokens, docs, sizes, places, member, group):
                 x.clear()
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], ["bucket", "token", "doc", "size", "place"])
 
@@ -102,12 +111,6 @@ def _prefixes(k: int, num: int, den: int, hot: np.ndarray, rank: np.ndarray, buc
                 n = len(s)
                 if not n or doc is None:
                     continue
-                key = (n, int(s.sum(dtype=np.uint64)) ^ int(s[0]) << 1)
-                if key in seen:
-                    continue  # the same set is in this task's postings already
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(key)
                 keep = n - (n * num + den - 1) // den + 1
                 if len(hot):
                     at = np.flatnonzero(maybe[(s >> np.uint64(44)).astype(np.int64)])
@@ -118,8 +121,18 @@ def _prefixes(k: int, num: int, den: int, hot: np.ndarray, rank: np.ndarray, buc
                         cold = np.ones(n, bool)
                         cold[at] = False
                         s = np.concatenate((s[cold], s[at][np.argsort(rank[i], kind="stable")]))
-                tokens.append(s[:keep])
-                docs.append(doc)
+                s = s[:keep]
+                name = int((mix64(s ^ _GROUPED).sum(dtype=np.uint64) ^ mix64(np.array([n], np.uint64))[0]).view(np.int64))
+                member.append(doc)
+                group.append(name)
+                held += 1
+                if name in seen:
+                    continue  # the group is in this task's postings already
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(name)
+                tokens.append(s)
+                docs.append(name)
                 sizes.append(n)
                 places.append(np.arange(keep, dtype=np.uint32))
                 held += keep
@@ -193,19 +206,27 @@ def _partnered(token, size, num: int, den: int) -> np.ndarray:
 
 
 def _centres(num: int, den: int, buckets: int):
-    """Step 1 of a bucket: each document's best centre, the lists that live on, and which documents these name.
+    """Step 2 of a bucket: each group's best centres (kind 0), which groups the lists that live on name (1), these
+    lists (2). Buckets below zero pass on the group of each document (3).
 
-    A centre counts if a quarter of the document's prefix tokens that this bucket should have name it: others are no
-    near copies as a rule, and step 3 meets them anyway.
+    A centre counts if a quarter of the group's prefix tokens that this bucket should have name it: others are no
+    near copies as a rule, and step 4 meets them anyway.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, packs, _ in _grouped(batches):
+            if bucket < 0:
+                for group, member, _, _ in packs:
+                    yield _rows(3, bucket, np.frombuffer(member, np.int64), np.frombuffer(group, np.int64), None)
+                continue
             arrays = _arrays(packs)
             packs.clear()
+            order = np.lexsort((arrays[1], arrays[0]))  # a group of several tasks counts once in a list
+            order = order[np.concatenate(([True], (np.diff(arrays[0][order]) != 0) | (np.diff(arrays[1][order]) != 0)))]
+            arrays = tuple(x[order] for x in arrays)
             live = _partnered(arrays[0], arrays[2], num, den)
             arrays = tuple(x[live] for x in arrays)
-            # a document whose copies differ from it by rare shingles has none of these before its common ones
+            # a group whose copies differ from it by rare shingles has none of these before its common ones
             token, doc, size, place, begin, _ = _lists(*arrays, arrays[3], arrays[1])
             if not len(doc):
                 continue
@@ -239,9 +260,9 @@ def _rows(kind: int, bucket: int, a, b, times, packed=None) -> pa.RecordBatch:
 
 
 def _rest(num: int, den: int, draw: int | None = None, chunk: int = 1 << 20):
-    """Steps 2 and 3 of a bucket: all pairs of different components that pass the filters, each once.
+    """Steps 3 and 4 of a bucket: all pairs of groups of different components that pass the filters, each once.
 
-    With ``draw``, a number, only a few pairs of each document, another choice for each number.
+    With ``draw``, a number, only a few pairs of each group, another choice for each number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,14 +346,41 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(k, num, den), "a long, b long")
 
 
-def _links_of(step: DataFrame, told: DataFrame) -> DataFrame:
-    """The lists that live on, beside the labels of the documents that they name."""
-    maps = step.where("kind = 1").select("bucket", F.col("a").alias("node")).join(told, "node")
+def _group_labels(members: DataFrame, told: DataFrame) -> DataFrame:
+    """(grp, label) of the groups whose members are all of one component that has a label; others count as their own."""
+    known = told.union(told.select("label", "label").distinct())
+    of = members.join(known, "node", "left").groupBy("grp").agg(F.count("*").alias("n"), F.count("label").alias("k"), F.min("label").alias("label"), F.max("label").alias("most"))
+    return of.where("k = n and label = most").select("grp", "label")
+
+
+def _links_of(step: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that live on, beside the labels of the groups that they name."""
+    maps = step.where("kind = 1").select("bucket", F.col("a").alias("grp")).join(labels, "grp").withColumnRenamed("grp", "node")
     blob = [F.lit(None).cast("binary").alias(c) for c in ("token", "doc", "size", "place")]
     none = [F.lit(None).cast("long").alias(c) for c in ("node", "label")]
     return step.where("kind = 2").select("bucket", "token", "doc", "size", "place", *none).unionByName(maps.select("bucket", *blob, "node", "label"))
 
 
+def _expanded(pairs: DataFrame, members: DataFrame, told: DataFrame, draw: int | None = None) -> DataFrame:
+    """(a, b): member pairs of different components, of the group pairs given and within groups of several components.
+
+    With ``draw`` one member of each group, another one for each number, stands for it.
+    """
+    every = members.join(told, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
+    each = every
+    if draw is not None:
+        each = every.groupBy("grp").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", F.lit(draw))).alias("m")).select("grp", "m.*")
+    left, right = (each.toDF(g, n, f"l{n}") for g, n in (("a", "x"), ("b", "y")))
+    across = pairs.join(left, "a").join(right, "b")
+    several = every.groupBy("grp").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("grp")
+    own = every.join(several, "grp").toDF("g", "x", "lx")
+    inside = own.join(each.toDF("g", "y", "ly"), "g")
+    if draw is None:
+        inside = inside.where("x < y")
+    both = [p.where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) for p in (across, inside)]
+    return both[0].union(both[1]).distinct()
+
+
 def _merged(told: DataFrame, links: DataFrame) -> DataFrame:
     """``told(node, label)`` after more links: only the labels that these name go through the rounds."""
     for c in ("a", "b"):
@@ -373,34 +421,42 @@ def _text_components(docs: DataFrame, one_text: DataFrame, k: int, percent: int)
     rank = (len(hot) - np.arange(len(hot)))[order]
     stats = seen.where("kind = 0").drop("kind")
     sets = stats.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    sets = freeze(sets, "shingle-sets")
     total = sets.agg(F.sum(F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))
     spread = lambda df: df.repartition(max(partitions(df.sparkSession), buckets), "bucket").sortWithinPartitions("bucket")
     packs = docs.mapInArrow(_prefixes(k, num, den, token[order], rank, buckets), _PACK)
     step = freeze(spread(packs).mapInArrow(_centres(num, den, buckets), _STEP), "prefix-lists")
-    copies = freeze(stats.where("n > 0").join(sets.where("copies > 1"), ["n", "f1", "f2"]).select("doc_id", "rep"), "set-copies")
-    other = copies.where("doc_id <> rep").distinct()
-
-    def by_sets(pairs: DataFrame) -> DataFrame:
-        for c in ("a", "b"):
-            pairs = pairs.join(other.select(F.col("doc_id").alias(c), F.col("rep").alias("r")), c, "left").withColumn(c, F.coalesce("r", c)).drop("r")
-        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
+    several = sets.where("copies > 1")
+    if several.count() <= REPEATED:
+        several = F.broadcast(several)
+    other = freeze(stats.where("n > 0").join(several, ["n", "f1", "f2"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "set-copies")
+    members = step.where("kind = 3").select(F.col("a").alias("node"), F.col("b").alias("grp"))
+    members = freeze(members.join(sets.select(F.col("rep").alias("node")), "node", "left_semi").dropDuplicates(["node"]), "group-members")
+    heads = members.groupBy("grp").agg(F.min("node").alias("head"), F.count("*").alias("n"))
+    inside = members.join(heads.where("n > 1"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     best = step.where("kind = 0").groupBy("a", "b").agg(F.sum("times").alias("times")).groupBy("a").agg(F.max_by("b", F.struct(F.col("times"), -F.col("b"))).alias("b"))
-    first = freeze(verified(one_text, by_sets(best), k, num, den), "links")
+    across = best.join(heads.select(F.col("grp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("grp").alias("b"), F.col("head").alias("y")), "b")
+    met = freeze(inside.union(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "pairs")
+    first = freeze(verified(one_text, met, k, num, den), "links")
     told = freeze(components(first.union(other.toDF("a", "b"))).where("node <> label"), "labels")
+    done = [met, first]
     # copies of no common original: a few draws of partners join most of them, so that few pairs are left for all
-    for draw in range(DRAWS):
-        some = freeze(by_sets(spread(_links_of(step, told)).mapInArrow(_rest(num, den, draw), "a long, b long")), "pairs")
+    draws = iter(range(DRAWS))
+    draw = next(draws)
+    while True:
+        pairs = spread(_links_of(step, _group_labels(members, told))).mapInArrow(_rest(num, den, draw), "a long, b long").distinct()
+        some = freeze(_expanded(pairs, members, told, draw), "pairs")
         more = freeze(verified(one_text, some, k, num, den), "links")
+        done += [some, more]
         links = more.count()
         if links:
             told = _merged(told, more)
-        if 20 * links <= some.count():  # draws no longer pay
+        if draw is None:
             break
-    rest = freeze(by_sets(spread(_links_of(step, told)).mapInArrow(_rest(num, den), "a long, b long")), "pairs")
-    second = freeze(verified(one_text, rest, k, num, den), "links")
-    final = (told if second.isEmpty() else _merged(told, second)).select(F.col("node").alias("doc_id"), "label")
+        draw = next(draws, None) if 20 * links > some.count() else None  # till draws no longer pay
+    discard(step, members, other, sets, *done)
+    final = told.select(F.col("node").alias("doc_id"), "label")
     return stats.join(final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
