@@ -83,24 +83,22 @@ def test_jaccard_of_copies_without_an_original(spark):
 
 
 def test_jaccard_of_different_sets_with_one_prefix(spark, monkeypatch):
-    # 2,000 frequent shingles; every text of a family has the same rare ones, which are its prefix, and other frequent ones
     rng = random.Random(17)
-    blocks = [" ".join(f"c{b}_{i}" for i in range(10)) for b in range(40)]
-    rows = [(1000 + i, " ".join(rng.sample(blocks, 20))) for i in range(60)]
-    for family in range(4):
-        rare = " ".join(f"r{family}_{i}" for i in range(60))
-        base = rng.sample(blocks, 22)
-        for i in range(25):
-            kept = rng.sample(base, 20) if i % 2 else [*base[:19], blocks[rng.randrange(40)]]
-            rows.append((100 * family + i, " ".join([rare, *sorted(kept)])))
+    # texts of a family have 60 rare words, whose shingles are their prefix, and one of 12 tails that other texts have more often
+    rows = []
+    for family in range(3):
+        rare = [f"r{family}_{i}" for i in range(60)]
+        tails = [[f"t{family}_{j if i > 5 else j % 6}_{i}" for i in range(10)] for j in range(12)]
+        rows += [(1000 * family + i, " ".join(rare + tails[i % 12])) for i in range(30)]
+        rows += [(1000 * family + 100 + i, " ".join([*rare[56:], *tails[i % 12], *(f"u{rng.random()}" for _ in range(6))])) for i in range(600)]
     sets = {i: shingles(t) for i, t in rows}
     label = classes(sets, [(a, b) for a in sets for b in sets if b < a and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert len(set(label.values())) < len(sets) - 20
+    assert len({label[i] for i in range(30)}) == 6
     seen = {}
     monkeypatch.setattr(jaccard, "discard", lambda step, members, *_: seen.update(groups=Counter(r.grp for r in members.collect())))
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()} == label
-    assert sum(n > 5 for n in seen["groups"].values()) >= 4
+    assert sorted(n for n in seen["groups"].values() if n > 1) == [12, 12, 12]
 
 
 def test_jaccard_of_an_id_with_several_texts(spark):
