@@ -9,7 +9,8 @@ for each other. Pairs are worked off in four steps:
 1. within a group, every member meets the smallest one;
 2. every group meets, of the centres of its prefix lists (the group with the fewest rarer shingles, as an original
    among its near copies), the one that it shares most lists with, member against member; links give components;
-3. a few draws of partner groups in *different* components, one member each, join copies that have no such original;
+3. a few draws of partner groups in *different* components, one member each, join copies that have no such original:
+   first those with the fewest rarer shingles in a list, then random ones;
 4. all pairs of groups whose members are still in different components, and groups that are themselves in several,
    are expanded in full.
 
@@ -38,9 +39,9 @@ from veilspark.llm.shingles import shingle_sets
 #: Frequent shingles: each task names at most LOCAL_HOT, of which the HOT most frequent are broadcast (16 bytes each).
 LOCAL_HOT, HOT = 1 << 14, 1 << 18
 #: Postings that a task packs at once; those in a bucket on average; rows of the hash filter in front of the text lookup (a fixed size).
-FLUSH, BUCKET, FILTER = 1_000_000, 3_000_000, 1 << 18
-#: Draws before all pairs that are left meet; partners that a group picks from each list; those kept in a bucket.
-DRAWS, PICKS, DRAWN = 3, 4, 64
+FLUSH, BUCKET, FILTER = 1_000_000, 2_000_000, 1 << 18
+#: Draws before all pairs that are left meet; partners that a group picks from each list, at random and by the fewest rarer shingles; those kept in a bucket.
+DRAWS, PICKS, FIRST, DRAWN = 4, 4, 8, 64
 #: Repeated sets up to which their list is broadcast (32 bytes each).
 REPEATED = 200_000
 
@@ -262,13 +263,14 @@ def _rows(kind: int, bucket: int, a, b, times, packed=None) -> pa.RecordBatch:
 def _rest(num: int, den: int, draw: int | None = None, chunk: int = 1 << 20):
     """Steps 3 and 4 of a bucket: all pairs of groups of different components that pass the filters, each once.
 
-    With ``draw``, a number, only a few pairs of each group, another choice for each number.
+    With ``draw``, a number, only a few pairs of each group: those with the FIRST groups of fewest rarer shingles in
+    its lists (0), or another random choice for each number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, packs, maps in _grouped(batches):
             arrays = _arrays(packs)
-            token, doc, size, place, begin, end = _lists(*arrays, arrays[2])
+            token, doc, size, place, begin, end = _lists(*arrays, arrays[3] if draw == 0 else arrays[2])
             ids, at = np.unique(doc, return_inverse=True)
             label = ids.copy()
             if maps:
@@ -287,9 +289,11 @@ def _rest(num: int, den: int, draw: int | None = None, chunk: int = 1 << 20):
             stop = np.searchsorted(key, list_no[entries] * scale + size[entries] * den // num, side="right")
             partners = np.maximum(stop - entries - 1, 0)
             if draw is not None:
-                i = np.repeat(entries, PICKS)
-                n = (end[i] - begin[i]).astype(np.uint64)
-                j = begin[i] + (mix64(np.arange(len(i), dtype=np.uint64) + np.uint64(1 + draw << 40)) % n).astype(np.int64)
+                i = np.repeat(entries, PICKS if draw else FIRST)
+                if draw:
+                    j = begin[i] + (mix64(np.arange(len(i), dtype=np.uint64) + np.uint64(1 + draw << 40)) % (end[i] - begin[i]).astype(np.uint64)).astype(np.int64)
+                else:
+                    j = np.minimum(begin[i] + np.tile(np.arange(FIRST), len(entries)), end[i] - 1)
                 ok = (mine[i] != mine[j]) & _enough(size[i], size[j], place[i], place[j], num, den)
                 x, y = at[i[ok]].astype(np.uint64), at[j[ok]].astype(np.uint64)
                 some = np.unique(np.minimum(x, y) << np.uint64(32) | np.maximum(x, y))
@@ -454,7 +458,7 @@ def _text_components(docs: DataFrame, one_text: DataFrame, k: int, percent: int)
             told = _merged(told, more)
         if draw is None:
             break
-        draw = next(draws, None) if 20 * links > some.count() else None  # till draws no longer pay
+        draw = next(draws, None) if draw == 0 or 20 * links > some.count() else None  # till random draws no longer pay
     discard(step, members, other, sets, *done)
     final = told.select(F.col("node").alias("doc_id"), "label")
     return stats.join(final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
