@@ -1,12 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, one for toxic and one for ordinary text. Each has the segments that are specific
-to its class (recurring in several of its training texts, and by a likelihood score rarer in the other class) in front
-of one base, which alone is trained by zstandard, on ordinary text only. Segments are substrings at any place, inside a
-word or across several, where specific grams of GRAM bytes follow each other, and whole words; a class without any has
-the base alone (the ordinary one as a rule). Two dictionaries trained by zstandard, one a class, separated the classes
-far worse: the README has figures. The shared base makes prose that both classes have cost
-the same under either, so the difference of a window's compressed lengths comes from the specific segments alone.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. The ordinary one is trained on windows of
+ordinary text, the toxic one on the stretches of toxic text that ordinary text hardly has, each as often as toxic texts
+have it: substrings at any place, inside a word or across several, where specific grams of GRAM bytes follow each other,
+and whole words (specific: in several texts of the class, and by a likelihood score rarer in the other class). Prose
+that both classes have must cost the same under either, so each class's own dictionary stands in front of the one of
+ordinary windows: the difference of a window's compressed lengths then comes from the class alone. Ordinary text is
+given such a front too where it has specific stretches. The README has the figures of dictionaries trained on all text
+of a class, which separate the classes far worse.
 
 A text is scored by the statistics of these differences over all of its windows, calibrated by a logistic model on
 labelled texts that neither dictionary saw. Labels, language, source and ids are no inputs of a score.
@@ -33,9 +34,11 @@ from veilspark.llm.common import bound_batches, mix64, sized_batches
 
 #: Bounds of the training sample: rows of a class; characters that the base is trained on.
 SAMPLE, SAMPLES = 3000, 6_000_000
-#: Bytes of class segments and of the base; the likelihood score and count that make a segment specific; words in a
-#: window; zstandard's level.
+#: Bytes of a class's own dictionary (and of the different segments that it is trained on) and of that of ordinary
+#: windows; the likelihood score and count that make a segment specific; words in a window; zstandard's level.
 SPECIFIC, BASE, SCORE, RECURS, WINDOW, LEVEL = 2048, 65536, 7.5, 3, 32, 9
+#: Bytes of the pieces that zstandard's trainer may pick for a class's own dictionary, and of the matches that it counts.
+PIECES, MATCH = (12, 16, 20, 24, 32, 48), 8
 #: Bytes of the grams that segments are found by; bits of the table that counts them.
 GRAM, SLOTS = 5, 22
 #: A text with this score or more counts as toxic.
@@ -95,8 +98,8 @@ def _stretches(raw: bytes, slots: np.ndarray, counts: np.ndarray) -> set[bytes]:
     return out
 
 
-def _segments(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
-    """The segments of label 1 and of label 0: substrings at any place, inside a word or across several, and words."""
+def _segments(rows: list[tuple[str, int]]) -> tuple[list[bytes], list[bytes]]:
+    """Training samples of label 1 and of label 0: substrings at any place, inside a word or across several, and words."""
     texts = [((" " + " ".join(_words(t)) + " ").encode(), label) for t, label in rows]
     sizes, counts = [sum(y == label for _, y in rows) for label in (0, 1)], np.zeros((2, 1 << SLOTS), np.int32)
     for raw, label in texts:
@@ -121,9 +124,8 @@ def _segments(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     return tuple(_specific(found[of][of], sizes[of], found[of][1 - of], sizes[1 - of]) for of in (1, 0))
 
 
-def _specific(own: Counter, n: int, other: Counter, m: int) -> bytes:
-    """Segments of a class, most specific last (nearest to the text)."""
-
+def _specific(own: Counter, n: int, other: Counter, m: int) -> list[bytes]:
+    """The most specific segments of a class, SPECIFIC bytes of different ones, each as often as texts of it have it."""
     share = n / max(1, n + m)
 
     def score(w: bytes) -> float:
@@ -132,8 +134,31 @@ def _specific(own: Counter, n: int, other: Counter, m: int) -> bytes:
         p = a / (a + b)
         return (a + b) * (p * math.log(p / share) + (1 - p) * math.log(max(1 - p, 1e-300) / (1 - share))) if share < 1 and p > share else 0.0
 
-    ranked = sorted((s, w) for w, a in own.items() if a >= RECURS and (s := score(w)) > SCORE)
-    return b" ".join([w for _, w in ranked])[-SPECIFIC:].rjust(SPECIFIC, b"\0")
+    ranked = sorted(((s, w) for w, a in own.items() if a >= RECURS and (s := score(w)) > SCORE), reverse=True)
+    out, size = [], 0
+    for _, w in ranked:
+        size += len(w) + 1
+        if size > SPECIFIC:
+            break
+        out += [w.ljust(MATCH)] * own[w]
+    return out
+
+
+def _dictionary(samples: list[bytes]) -> bytes:
+    """A class's own dictionary of SPECIFIC bytes, trained with that size of pieces which holds most of the segments; too
+    few samples to train on stand for themselves."""
+    import zstandard as z
+
+    segments, content, most = set(samples), b"".join(dict.fromkeys(samples)), -1
+    for piece in PIECES:
+        try:
+            trained = z.train_dictionary(SPECIFIC, samples, k=piece, d=MATCH).as_bytes()
+        except z.ZstdError:
+            continue
+        held = sum(x.strip() in trained for x in segments)
+        if held > most:
+            content, most = trained, held
+    return content[-SPECIFIC:].rjust(SPECIFIC, b"\0")
 
 
 def train(rows: list[tuple[str, int]], share: float | None = None) -> dict:
@@ -160,7 +185,7 @@ def train(rows: list[tuple[str, int]], share: float | None = None) -> dict:
         base = z.train_dictionary(BASE, samples).as_bytes()
     except z.ZstdError:  # too little text to train on
         base = b"".join(samples)[:BASE]
-    toxic, ordinary = (x + base for x in _segments(fit))
+    toxic, ordinary = (_dictionary(x) + base for x in _segments(fit))
     model = {"toxic": toxic, "ordinary": ordinary, "weights": [0.0, 0.0, 0.0], "bias": -9.0}
     calibrate = rest if any(label for _, label in rest) and not all(label for _, label in rest) else fit
     if not sizes[1] or not sizes[0]:
@@ -194,7 +219,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, i
     labels = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     order, share = F.xxhash64("doc_id", F.lit(7)), labels.agg(F.avg("toxic")).first()[0] or 0.0
     few = labels.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE).union(labels.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE))
-    chosen = docs.join(F.broadcast(few.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    few = few.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # of labels that contradict each other the toxic one counts
+    chosen = docs.join(F.broadcast(few), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
     rows = chosen.orderBy(order, "doc_id", "text").limit(4 * SAMPLE).collect()
     return [(r["text"], r["toxic"]) for r in rows], share
 
