@@ -207,11 +207,11 @@ def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 8))
     v = [(centres[i % 12] + rng.normal(scale=0.2, size=8)).astype(np.float32).tolist() for i in range(240)]
+    v += [[float(x) for x in rng.normal(size=3)] + [0.0] * k for k in range(40) for _ in range(2)]  # many lengths
     v += [v[0]] * 30 + [None, [], [0.0] * 8, [1.0, None] + [0.0] * 6, [float("nan")] * 8, [float("inf")] + [0.0] * 7, [1.0, 0.0], [1e38] * 8]
     rows = [(i, x, 1) for i, x in enumerate(v)] + [(None, v[3], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int").repartition(5)
-    monkeypatch.setattr(embeddings, "PER_PIVOT", 25)
-    monkeypatch.setattr(embeddings, "BLOCK", 9)
+    monkeypatch.setattr(embeddings, "block_rows", lambda d: 9)
     out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.embedding_links(df).collect()}
     fine = {i: np.array(x, float) for i, x, _ in rows if i is not None and x and None not in x and np.isfinite(x).all() and any(x)}
     near = lambda a, b: len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9
@@ -219,6 +219,8 @@ def test_embeddings(spark, monkeypatch):
     label, degree = classes(range(len(v)), links), Counter(x for p in links for x in p)
     assert {i: out[i] for i in label} == {i: (degree[i], c, c == i) for i, c in label.items()}
     assert out[None][0] == 0 and embeddings.embedding_links(df.limit(0)).count() == 0
+    monkeypatch.setattr(embeddings, "MAX_PIVOTS", 20)  # most lengths have no pivot
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.embedding_links(df).collect()} == out
 
 
 def test_chat(spark):

@@ -2,15 +2,17 @@
 
 The metric is the angle between vectors. Every vector goes to the cell of its nearest pivot. A vector x within angle
 r of some vector of cell j satisfies both angle(x, p_j) <= R_j + r (R_j: the cell's radius) and angle(x, p_j) -
-angle(x, p_home) <= 2 r; it is replicated to the cells j < home where both hold, so each pair meets in one cell.
-Cells join independently. A cell of more than ``block`` vectors is dealt over several units by hash: unit u holds
-block u and is met by the cell's blocks v <= u and its replicas, so no task holds more than a block (and a batch).
+angle(x, p_home) <= 2 r; it is replicated to the cells that host their pairs with x's cell and where both hold, so each
+pair meets in one cell. Of two cells the lower one hosts if the sum of their numbers is odd, else the higher one: all
+cells host as many. Cells join independently. A cell of more than a block of vectors (BLOCK_BYTES of components) is dealt
+over several units by hash: unit u holds block u and is met by the cell's replicas and by those of its blocks that it
+hosts, by the same rule, so no task holds more than a block (and a batch).
 
 Equal vectors collapse first and count with their multiplicity. Cosines of candidates are taken in double precision.
 A unit reports link counts and a spanning forest, never its pairs.
 
 On data without clusters in many dimensions the triangle inequality excludes little (any exact method degrades to
-comparing blocks of all vectors); results stay exact.
+comparing blocks of all vectors); results stay exact. A vector is then sent to about half of all units.
 
 Corner cases: null, empty, all-zero, null- or non-finite-holding vectors link with nothing and are their own
 component; vectors of different lengths never link; rows repeating a vec_id are joined through it as one node; a null
@@ -27,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import freeze, partitions
+from veilspark.llm.common import discard, freeze, partitions
 from veilspark.llm.components import components
 
-#: Pivots: one for PER_PIVOT distinct vectors, MAX_PIVOTS at most (the broadcast is bounded by it), chosen by hash.
-PER_PIVOT, MAX_PIVOTS, BLOCK = 8192, 1024, 8192
+#: Bytes of doubles in a block; distinct vectors for each of the first pivots. Pivots are chosen by hash: one for a block,
+#: LEAST_PIVOTS at least, MAX_PIVOTS at most for all lengths together (what tasks are sent is bounded by it).
+BLOCK_BYTES, PER_FIRST, LEAST_PIVOTS, MAX_PIVOTS = 16 << 20, 16, 8, 1024
 #: Guards the replication test and the single-precision candidate test against rounding.
 SLACK = 1e-4
 
@@ -63,6 +66,16 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1, 1))
 
 
+def block_rows(d: int) -> int:
+    """Vectors of length d in a block."""
+    return max(256, BLOCK_BYTES // (8 * d))
+
+
+def _hosts(j, other):
+    """Does cell (or block) j host its pairs with the others?"""
+    return np.where(other > j, (other + j) % 2 == 1, (other < j) & ((other + j) % 2 == 0))
+
+
 def _homes(pivots: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,6 +83,8 @@ def _homes(pivots: dict[int, np.ndarray]):
             home, away = np.zeros(len(dims), np.int32), np.zeros(len(dims))
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
+                if int(d) not in pivots:  # a rare length: one cell
+                    continue
                 a = _angles(_matrix(batch.column("v").take(pa.array(at))), pivots[int(d)])
                 home[at], away[at] = a.argmin(1), a.min(1)
             yield pa.record_batch([*batch.columns, pa.array(home), pa.array(away)], [*batch.schema.names, "home", "away"])
@@ -79,6 +94,9 @@ def _homes(pivots: dict[int, np.ndarray]):
 
 def _deal(pivots: dict[int, np.ndarray], cells: dict[tuple[int, int], tuple[float, int]], first_unit: dict[tuple[int, int], int], reach: float):
     """Rows for each unit: role 0 is of the unit's own block, role 1 of another block or cell."""
+    by_length: dict[int, list[int]] = {}
+    for d, j in cells:
+        by_length.setdefault(d, []).append(j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -88,20 +106,21 @@ def _deal(pivots: dict[int, np.ndarray], cells: dict[tuple[int, int], tuple[floa
                 node = batch.column("node").to_numpy()
                 for d in np.unique(dims):
                     rows = np.flatnonzero(dims == d)
-                    here = [j for dd, j in cells if dd == d]
-                    near = _angles(_matrix(batch.column("v").take(pa.array(rows))), pivots[int(d)])
+                    here = by_length[int(d)]
+                    near = _angles(_matrix(batch.column("v").take(pa.array(rows))), pivots[int(d)]) if int(d) in pivots else np.zeros((len(rows), 1))
                     pick, unit, role, block = [], [], [], []
                     for j in here:
                         radius, blocks = cells[int(d), j]
                         base = first_unit[int(d), j]
                         own = np.flatnonzero(home[rows] == j)
                         mine = (node[rows[own]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
-                        meets = np.flatnonzero((home[rows] > j) & (near[:, j] <= radius + reach + SLACK) & (near[:, j] - away[rows] <= 2 * reach + SLACK))
+                        meets = np.flatnonzero(_hosts(j, home[rows]) & (near[:, j] <= radius + reach + SLACK) & (near[:, j] - away[rows] <= 2 * reach + SLACK))
                         for u in range(blocks):
-                            met = own[mine <= u]
+                            here_too = (mine == u) | _hosts(u, mine)
+                            met = own[here_too]
                             pick += [rows[met], rows[meets]]
-                            role.append(np.concatenate((mine[mine <= u] != u, np.ones(len(meets), bool))))
-                            block.append(np.concatenate((mine[mine <= u], np.full(len(meets), -1))))
+                            role.append(np.concatenate((mine[here_too] != u, np.ones(len(meets), bool))))
+                            block.append(np.concatenate((mine[here_too], np.full(len(meets), -1))))
                             unit.append(np.full(len(met) + len(meets), base + u))
                     if pick:
                         part = batch.take(pa.array(np.concatenate(pick)))
@@ -125,8 +144,8 @@ class _Unit:
     def meet(self, node, copies, v, own_from: int | None = None):
         """(node, links, label) of the rows met that have a link. own_from: they are rows of the own block from there on."""
         out = []
-        for s in range(0, len(node), 512):
-            n, c, x = node[s : s + 512], copies[s : s + 512], v[s : s + 512]
+        for s in range(0, len(node), 256):
+            n, c, x = node[s : s + 256], copies[s : s + 256], v[s : s + 256]
             i, j = np.nonzero(x.astype(np.float32) @ self.v4.T >= self.cosine - SLACK)
             if own_from is not None:
                 later = j > own_from + s + i
@@ -224,16 +243,19 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     ids = freeze(keyed.select("vec_id", "k1", "k2"), "vector-keys")
     distinct = freeze(classes, "vectors")
     points = freeze(distinct.select("node", "copies", "v").mapInArrow(_pack, "node long, copies long, d int, v binary"), "unit-vectors")
-    sizes = {r["d"]: r["n"] for r in points.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(MAX_PIVOTS).collect()}
+    # a row per length of vectors; the MAX_PIVOTS commonest lengths have pivots, others one cell each
+    sizes = {r["d"]: r["n"] for r in points.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").collect()}
     reach = math.acos(cosine)
     pivots, share = {}, max(1, sum(sizes.values()))
-    for d, n in sizes.items():
-        k = max(1, min(-(-n // PER_PIVOT), MAX_PIVOTS * n // share))
+    for d, n in list(sizes.items())[:MAX_PIVOTS]:
+        k = max(1, min(max(-(-n // block_rows(d)), min(LEAST_PIVOTS, n // PER_FIRST)), MAX_PIVOTS * n // share))
+        if k == 1:
+            continue
         rows = points.where(F.col("d") == d).orderBy(F.xxhash64("node"), "node").limit(k).select("v").collect()
         pivots[d] = np.stack([np.frombuffer(r["v"], np.float64) for r in rows])
     placed = freeze(points.mapInArrow(_homes(pivots), "node long, copies long, d int, v binary, home int, away double"), "cells")
     # One row per cell, MAX_PIVOTS and the number of lengths at most
-    cells = {(r["d"], r["home"]): (r["radius"], -(-r["n"] // BLOCK)) for r in placed.groupBy("d", "home").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()}
+    cells = {(r["d"], r["home"]): (r["radius"], -(-r["n"] // block_rows(r["d"]))) for r in placed.groupBy("d", "home").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()}
     first_unit, units = {}, 0
     for key, (_, blocks) in sorted(cells.items()):
         first_unit[key] = units
@@ -241,6 +263,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     dealt = placed.mapInArrow(_deal(pivots, cells, first_unit, reach), _DEALT)
     dealt = dealt.repartition(max(units, partitions(vectors.sparkSession)), "unit").sortWithinPartitions("unit", "role")
     found = freeze(dealt.drop("block").mapInArrow(_join(cosine), "node long, links long, label long"), "vector-links")
+    discard(points, placed)
     links = found.groupBy("node").agg(F.sum("links").alias("links")).where("links > 0")
     labels = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
     per_class = distinct.select("k1", "k2", "node", "copies").join(links, "node", "left").join(labels, "node", "left")
