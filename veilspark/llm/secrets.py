@@ -3,7 +3,9 @@
 The patterns find assignments, access keys and hex strings. The models are first-order chains over the characters
 that secrets are made of: one of random strings, one of ordinary identifiers and words. A token is a secret if the
 logarithm of its likelihood ratio reaches THRESHOLD in total and MEAN per character. Spans of the models are added to
-those of the patterns; they never overlap them and never remove one.
+those of the patterns; they never overlap them and never remove one: what a pattern's span leaves of a token is judged
+by itself. Longer tokens are judged piece by piece, the last piece reaching back to its full length, and neighbouring
+pieces that are secret make one span.
 
 Training samples are labelled: random strings over the usual alphabets from a seeded generator against the tokens of
 all documents that no pattern matches, and identifiers built of all of these. Only counts of character pairs leave the executors.
@@ -33,7 +35,7 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Tokens that are counted at once.
 CHUNK = 4000
 #: Candidates of the models: shortest and longest piece judged at once, and the two limits in natural logarithms.
-LEAST, PIECE, THRESHOLD, MEAN = 20, 256, 24.0, 0.7
+LEAST, PIECE, THRESHOLD, MEAN = 16, 256, 20.0, 0.7
 
 ALPHABET = string.ascii_letters + string.digits + "+/_=-."
 _CODE = np.full(128, 0, np.int64)
@@ -88,17 +90,41 @@ def model(secret: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     return np.log(p) - np.log(q)
 
 
-def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def _free(start: int, end: int, taken: list[tuple[int, int, int]], at: int) -> tuple[list[tuple[int, int]], int]:
+    """What spans sorted by start leave of start..end; ``at`` is the first of them that may reach it, for the next call."""
     out = []
+    while at < len(taken) and taken[at][2] <= start:
+        at += 1
+    i = at
+    while i < len(taken) and taken[i][0] < end:
+        a, _, b = taken[i]
+        if b > start:
+            out.append((start, a))
+            start = b
+        i += 1
+    return [*out, (start, end)], at
+
+
+def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    out, at = [], 0
     for m in _TOKEN.finditer(text):
-        for s in range(m.start(), m.end(), PIECE):  # a token of any length is judged piece by piece
-            e = min(s + PIECE, m.end())
-            if e - s < LEAST or any(a < e and b > s for a, _, b in taken):
+        parts, at = _free(m.start(), m.end(), taken, at)
+        for start, end in parts:
+            if end - start < LEAST:
                 continue
-            codes = _CODE[np.frombuffer(text[s:e].encode("ascii"), np.uint8)]
-            total = float(ratio[np.concatenate(([0], codes[:-1])), codes].sum())
-            if total >= THRESHOLD and total >= MEAN * (e - s):
-                out.append((s, 3, e))
+            codes = _CODE[np.frombuffer(text[start:end].encode("ascii"), np.uint8)]
+            upto = np.concatenate(([0.0], np.cumsum(ratio[np.concatenate(([0], codes[:-1])), codes])))
+            s = 0
+            while s < end - start:
+                e = min(s + PIECE, end - start)
+                s = max(0, e - PIECE) if e - s < LEAST else s
+                total = float(upto[e] - upto[s])
+                if total >= THRESHOLD and total >= MEAN * (e - s):
+                    if out and out[-1][2] >= start + s:
+                        out[-1] = out[-1][0], 3, start + e
+                    else:
+                        out.append((start + s, 3, start + e))
+                s = e
     return out
 
 
