@@ -1,8 +1,7 @@
 """Token-id shards compressed by a grammar (Re-Pair), with random access.
 
 A shard holds the ids of consecutive documents. Frequent pairs of symbols are replaced by nonterminals, again and
-again, for at most ROUNDS rounds of PER_ROUND rules, and only while symbols fit in 16 bits (a vocabulary of 63,488 ids or
-more gets no rule); so a symbol stands for at most 2**ROUNDS ids and longer repeats stay unfolded. The shard stores the rules, each symbol's expansion length and the remaining
+again, until no pair is frequent. The shard stores the rules, each symbol's expansion length and the remaining
 sequence with the token offset of every STRIDE-th symbol, so a range of tokens is decoded from its neighbourhood.
 
 One round replaces a set of frequent pairs (a, b) chosen by falling frequency such that no symbol is the left of one
@@ -32,8 +31,8 @@ from veilspark.llm.common import bound_batches, freeze, partitions, sized_batche
 
 #: Ids in a shard before it is closed (a document stays in one shard), symbols between two offsets of the index.
 SHARD, STRIDE = 1_000_000, 1024
-#: A pair is replaced if it occurs so often; pairs of a round; rounds.
-FREQUENT, PER_ROUND, ROUNDS = 24, 2048, 6
+#: A pair is replaced if it occurs so often; pairs of a round.
+FREQUENT, PER_ROUND = 24, 2048
 MARKS = ".,;:?!"
 MAGIC = b"RPR1"
 _HEAD = struct.Struct("<4sIIQQI")
@@ -118,33 +117,35 @@ def coder(path: str) -> WordBpe:
 def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): ids below ``base`` are terminals, base + i stands for the pair rules[i]."""
     seq, rules, total = ids.astype(np.uint32), [], base
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * FREQUENT or total + PER_ROUND >= 1 << 16:
-            break
-        keys = seq[:-1] << np.uint32(16) | seq[1:]
-        ordered = np.sort(keys)
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        times = np.diff(np.append(first, len(ordered)))
-        often = np.flatnonzero(times >= FREQUENT)
+    while len(seq) >= 2:
+        wide = total > 1 << 16
+        kind, half = (np.uint64, np.uint64(32)) if wide else (np.uint32, np.uint32(16))
+        keys = seq.astype(kind, copy=False)
+        keys = keys[:-1] << half | keys[1:]
+        keys.sort()
+        # a pair that occurs FREQUENT times is the same key so many places on
+        often = keys[: -FREQUENT + 1][keys[: -FREQUENT + 1] == keys[FREQUENT - 1 :]] if len(keys) >= FREQUENT else keys[:0]
         if not len(often):
             break
-        often = often[np.lexsort((ordered[first[often]], -times[often]))][: 4 * PER_ROUND]
+        first = np.flatnonzero(np.concatenate(([True], often[1:] != often[:-1])))
+        times = np.diff(np.append(first, len(often)))
+        often = often[first]
+        often = often[np.lexsort((often, -times))][: 4 * PER_ROUND]
         left, right, chosen = set(), set(), []
-        for pair in ordered[first[often]].tolist():
-            a, b = pair >> 16, pair & 0xFFFF
+        for a, b in zip((often >> half).tolist(), (often & kind((1 << int(half)) - 1)).tolist(), strict=True):
             if a in right or b in left or a == b and (a in left or a in right):
                 continue
             left.add(a)
             right.add(b)
-            chosen.append(pair)
+            chosen.append((a, b))
             if len(chosen) == PER_ROUND:
                 break
         pairs = np.array(chosen, np.uint32)
-        lefts, rights = np.unique(pairs >> np.uint32(16)), np.unique(pairs & np.uint32(0xFFFF))
-        row, column = np.full(1 << 16, -1, np.int32), np.full(1 << 16, -1, np.int32)
+        lefts, rights = np.unique(pairs[:, 0]), np.unique(pairs[:, 1])
+        row, column = np.full(total, -1, np.int32), np.full(total, -1, np.int32)
         row[lefts], column[rights] = np.arange(len(lefts)), np.arange(len(rights))
         rule = np.full(len(lefts) * len(rights), -1, np.int32)  # by row and column
-        rule[row[pairs >> np.uint32(16)] * len(rights) + column[pairs & np.uint32(0xFFFF)]] = np.arange(len(pairs))
+        rule[row[pairs[:, 0]] * len(rights) + column[pairs[:, 1]]] = np.arange(len(pairs))
         r, c = row[seq[:-1]], column[seq[1:]]
         at = np.flatnonzero((r >= 0) & (c >= 0))
         found = rule[r[at] * len(rights) + c[at]]
@@ -158,21 +159,27 @@ def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules.append(np.stack((pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)), 1))
+        rules.append(pairs)
         total += len(pairs)
     return seq, np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
 
 
-def expansions(rules: np.ndarray, base: int) -> np.ndarray:
-    """What the nonterminals stand for, one after another: each pass replaces all nonterminals by their pairs."""
-    seq = rules.ravel()
-    while (inner := seq >= base).any():
-        n = 1 + inner
-        out, at = np.repeat(seq, n), np.cumsum(n) - n
-        pairs = rules[seq[inner] - base]
-        out[at[inner]], out[at[inner] + 1] = pairs[:, 0], pairs[:, 1]
-        seq = out
-    return seq
+def expansions(rules: np.ndarray, base: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What all symbols stand for, one after another: a rule's two parts are copied once those of its parts are there."""
+    flat = np.empty(int(start[-1] + length[-1]) if len(start) else 0, np.uint32)
+    flat[:base] = np.arange(base, dtype=np.uint32)
+    depth = [0] * base
+    for a, b in rules.tolist():
+        depth.append(max(depth[a], depth[b]) + 1)
+    depth = np.array(depth[base:], np.int64)
+    by_depth = np.argsort(depth, kind="stable")
+    for level in np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1) if len(depth) else []:
+        a, b = rules[level, 0], rules[level, 1]
+        for part, to in ((a, start[base + level]), (b, start[base + level] + length[a])):
+            n = length[part]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            flat[np.repeat(to, n) + inside] = flat[np.repeat(start[part], n) + inside]
+    return flat
 
 
 def write_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, base: int) -> bytes:
@@ -213,7 +220,7 @@ class Shard:
         self.docs, self.null, self.counts = take(np.int64, n_docs), take(np.uint8, n_docs).astype(bool), take(np.uint32, n_docs).astype(np.int64)
         self.length = np.concatenate((np.ones(self.base, np.int64), self.lengths.astype(np.int64)))
         self.start = np.concatenate((np.arange(self.base), self.base + np.cumsum(self.lengths, dtype=np.int64) - self.lengths))
-        self.flat = np.concatenate((np.arange(self.base, dtype=np.uint32), expansions(self.rules, self.base)))
+        self.flat = expansions(self.rules, self.base, self.start, self.length)
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
         n = self.length[seq]
