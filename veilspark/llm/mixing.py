@@ -107,17 +107,25 @@ def _flip(copies: float, doc_id, row: int) -> int:
     return int(copies) + (part > 0.5 or part == 0.5 and _coin(doc_id, row, -1) < 0.5)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows(doc_id, source, h)`` with ``row``, which tells rows of one doc_id apart: a hash of the text's hash, the source and
+    a number among rows that are equal in all of these, which stand for each other. Only such rows meet in a window."""
+    same = ["doc_id", "h", "source"]
+    once = rows.groupBy(*same).count().where("count > 1").isEmpty()
+    number = F.lit(1) if once else F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    return rows.withColumn("row", F.xxhash64("h", "source", number))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(doc_id, row, size, source_size, target, copies) for each row of ``docs(doc_id, source, text)``.
 
-    Rows repeating a doc_id are told apart by ``row`` (by text, then any order among equal rows) and rounded apart.
+    Rows repeating a doc_id are told apart by ``row`` and rounded apart.
     A null or wordless text has size 0, gets no fraction and as many whole copies as its source's documents; a null
     source is a source of its own, ordered last. An empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size"), F.xxhash64("text").alias("h"))
     base = freeze(base, "mix-sizes")
-    repeats = base.groupBy("doc_id").count().where("count > 1").isEmpty()
-    base = base.withColumn("row", F.lit(0).cast("long") if repeats else F.row_number().over(Window.partitionBy("doc_id").orderBy("h", "source")).cast("long")).drop("h")
+    base = _numbered(base).drop("h")
     targets = source_targets(base.select("source", "size"), weights, share, most)
     # One small row per source. The large side keeps its partitions if Spark finds this side small enough to broadcast
     joined = base.join(targets, base["source"].eqNullSafe(targets["source"])).drop(targets["source"])
@@ -148,11 +156,12 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; rows repeating a doc_id are counted one by one."""
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    many = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    keyed = keyed.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("__h", "source")).cast("long") if many else F.lit(0).cast("long"))
-    counts = mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("row").alias("__r"), F.col("copies").alias("__copies"))
-    on = keyed["doc_id"].cast("long").eqNullSafe(counts["__id"]) & (keyed["__row"] == counts["__r"])
-    times = keyed.join(counts, on).withColumn("__again", F.explode(F.expr("sequence(1, __copies)")))
-    return times.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, each as often as the mix takes it; rows repeating a doc_id are counted one by one.
+
+    Columns may have any names: the row travels as one struct.
+    """
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("h"))
+    keyed = _numbered(keyed)
+    counts = mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("row").alias("r"), "copies")
+    on = keyed["doc_id"].eqNullSafe(counts["id"]) & (keyed["row"] == counts["r"])
+    return keyed.join(counts, on).select("kept", F.explode(F.expr("sequence(1, copies)")).alias("time")).select("kept.*")
