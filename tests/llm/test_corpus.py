@@ -150,6 +150,12 @@ def test_token_files(spark, docs, empty, monkeypatch):
     assert len(shard.seq) < 15_000 and (shard.tokens() == ids).all()
     for a, b in ((0, 1), (999, 5000), (19_999, 20_000), (7, 7)):
         assert (shard.tokens(a, b) == ids[a:b]).all()
+    block = np.random.default_rng(4).integers(0, 40_000, 2000, dtype=np.uint32)
+    for ids, base in ((np.tile(block, 200), 49_000), (np.tile(block, 50), 70_000), (np.zeros(5000, np.uint32), 1), (np.array([1, 1, 2] * 500, np.uint32), 3), (block[:1], 40_000)):
+        shard = token_files.Shard(token_files.write_shard([1], np.array([len(ids)]), ids, base))
+        assert (shard.tokens() == ids).all() and (shard.tokens(len(ids) // 3, len(ids) // 2) == ids[len(ids) // 3 : len(ids) // 2]).all()
+        pairs = Counter(zip(shard.seq.tolist(), shard.seq[1:].tolist(), strict=False))
+        assert not pairs or max(pairs.values()) < token_files.FREQUENT  # no pair is frequent any more
 
 
 def test_quality(spark, docs, empty):
@@ -263,6 +269,9 @@ def test_chat_rewrites_across_windows(spark):
     whole = [tuple(r) for r in chat.format_conversations(df, plain).collect()]
     plain.append_only = True
     assert whole == [tuple(r) for r in chat.format_conversations(df, plain).collect()] and [r[2] for r in whole] == [0, 64, 128]
+    stored = chat.format_conversations(df, plain).orderBy(F.desc("piece")).repartition(5)  # rows of a stored table come in any order
+    inst = chat.format_conversations(df)
+    assert chat.read_back(inst.orderBy(F.desc("piece")).repartition(5)).collect() == chat.read_back(inst).collect() and stored.count() == 3
     assert "".join(r[3][s:e] for r in whole for s, e in zip(r[4], r[5], strict=True)) == "".join(f"<{i}>t{i}" for i in range(130))
 
 
@@ -376,7 +385,7 @@ def test_mixing(spark, docs, empty, monkeypatch):
 def test_secrets(spark, docs, empty):
     out = secrets.secret_spans(docs).collect()
     text = {r.doc_id: r.text or "" for r in docs.collect()}
-    assign = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Tt][Oo][Kk][Ee][Nn]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     for r in out:
         t = text[r.doc_id]
         want = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) > 11] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) > 17] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) > 15]
@@ -391,6 +400,25 @@ def test_secrets(spark, docs, empty):
     assert any("[SECRET]" in (t or "") and "AKIA5" not in t for t in clean.values()) and clean[None] == "no id here"
 
 
+def test_secrets_of_all_kinds_and_held_out_strings(spark):
+    rng = random.Random(21)
+    kinds = ["password: abcdefghijkl", "PassWd='abcdefghijkl'", "secret  = \"abcdefghijkl", "API_KEY:abcdefghijkl", "apikey=abcdefghijkl", "token:abcdefghijk"]
+    assert [sum(k == 0 for _, k, _ in secrets.base_spans(t)) for t in kinds] == [1, 1, 1, 1, 1, 0]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    ratio = secrets.train(docs)
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        for n in (16, 20, 32, 275, 600):
+            # strings that no model saw: recall of whole strings
+            found = sum(secrets.markov_spans(f"see {x} there", ratio, []) == [(4, 3, 4 + n)] for x in ("".join(rng.choices(alphabet, k=n)) for _ in range(300)))
+            assert found >= 285, (alphabet, n, found)
+    # a piece beside a pattern's span is judged by itself
+    assert secrets.markov_spans("0123456789abcdefZx81KqPw0LrT7vYb3NmQ9sDf", ratio, [(0, 2, 16)]) == [(16, 3, 40)]
+    texts = [r.text or "" for r in docs.limit(300).collect()]
+    ordinary = sorted({x for t in texts for x in re.findall(r"\b[A-Za-z]{3,}\b", t)})
+    names = ["".join(rng.choices(ordinary, k=1)) + y.title() + z.title() for y, z in zip(ordinary[::7], ordinary[::5], strict=False)]
+    assert sum(bool(secrets.markov_spans(x, ratio, [])) for x in names if x.isascii()) <= len(names) // 200
+
+
 def test_secrets_model_of_all_documents(spark):
     rng = random.Random(13)
     rows = [(i, " ".join("".join(rng.choices("abcXYZ019_", k=6)) for _ in range(900 if i < 5 else 8))) for i in range(4100)]

@@ -76,6 +76,9 @@ class ForcedBoundaryBpe:
         self.library.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split = spec["pre_tokenizer"] or {}
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or spec["normalizer"]:
+            raise ValueError(f"{path}: cuts are certain for byte-level vocabularies with the usual pattern and without normaliser only")
         symbols, vocab = byte_symbols(), spec["model"]["vocab"]
         ranks = {bytes(symbols[c] for c in token): i for token, i in vocab.items() if all(c in symbols for c in token)}
         for t in spec["added_tokens"]:
