@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -209,6 +210,30 @@ def test_robust_estimate_against_numpy(spark):
     assert np.allclose(np.diag(cov), good.var(0), rtol=0.35)
 
 
+def test_robust_estimate_against_all_subsets(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(np.vstack([rng.normal(0, 1, (14, 5)) @ np.diag([3, 2, 4, 2, 3]) + 20, rng.normal(90, 2, (3, 5))]) * quality.UNIT) / quality.UNIT
+    h = int(np.ceil(quality.ALPHA * len(x)))
+    best = min(itertools.combinations(range(len(x)), h), key=lambda c: np.linalg.det(np.cov(x[list(c)].T, bias=True)))
+    mean, cov = x[list(best)].mean(0), np.cov(x[list(best)].T, bias=True) * quality.CONSISTENT
+    near = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean) <= quality.REWEIGHT
+    mean, cov = x[near].mean(0), np.cov(x[near].T, bias=True)
+    want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    df = spark.createDataFrame([(1, *map(int, r)) for r in x * quality.UNIT], "g long, " + ", ".join(f"x{i} long" for i in range(5)))
+    e = quality.group_estimates(df).first()
+    w = np.array([[e[f"w{i}{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
+    d = (((x - np.array([e[f"m{i}"] for i in range(5)])) @ w.T) ** 2).sum(1)
+    assert (want > quality.CUT).tolist() == (d > quality.CUT).tolist() == [False] * 14 + [True] * 3
+    assert np.abs(np.array([e[f"m{i}"] for i in range(5)]) - mean).max() < 1.5
+
+
+def test_statistics_under_a_filter(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    base = quality.base_statistics(docs)
+    every = base.select("doc_id", "base_failed", "n_repeat_words").collect()
+    assert base.where("not base_failed and n_repeat_words < 10").count() == sum(not r.base_failed and r.n_repeat_words < 10 for r in every) and base.columns[:5] == docs.columns
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 8))

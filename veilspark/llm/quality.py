@@ -2,8 +2,8 @@
 
 Base statistics come from array functions over a text's words and lines. For each language and source the minimum
 covariance determinant of the transformed statistics is estimated over all documents that pass the base rules: from
-two starts (quartiles; a winsorised covariance) concentration steps keep the nearest ALPHA of the documents, the
-start of the smaller determinant wins, and one reweighting step follows. A document is rejected if its squared
+two starts (quartiles; a winsorised covariance) concentration steps keep the nearest ALPHA of the documents until no
+determinant moves any more, the start of the smaller determinant wins, and one reweighting step follows. A document is rejected if its squared
 Mahalanobis distance exceeds CUT. A group of fewer than LEAST such documents is judged by the estimate of all documents
 of its language, and a language of fewer by that of the whole table, however small: every document is judged.
 
@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import NOT_WORD, SEPARATORS, freeze
 
-#: Fixed-point units; share of a group that an estimate rests on; concentration steps; documents that an estimate of a group or language needs.
-UNIT, ALPHA, STEPS, LEAST = 256, 0.75, 3, 50
+#: Fixed-point units; share of a group that an estimate rests on; documents that an estimate of a group or language needs.
+UNIT, ALPHA, LEAST = 256, 0.75, 50
+#: Concentration steps at most, and the change of a determinant's logarithm that counts (a tenth is one per cent of each
+#: deviation; whole bins come and go, so smaller changes need not end).
+STEPS, SETTLED = 8, 0.1
 #: Consistency factor of ALPHA for five normal statistics (ALPHA over P(chi2 with 7 degrees <= 75 % quantile with 5)).
 CONSISTENT = 1.41
-#: Squared distances: of the reweighting step (97.5 % quantile of chi2 with 5 degrees), and beyond which a document goes.
-REWEIGHT, CUT = 12.83, 60.0
+#: Squared distances: of the reweighting step (97.5 % quantile of chi2 with 5 degrees), and beyond which a document goes
+#: (the 1 - 5e-20 quantile: of any number of normal documents none; tails of texts' statistics are longer than normal).
+REWEIGHT, CUT = 12.83, 100.0
 #: Least standard deviation of each statistic, so that a constant one rejects nothing by itself.
 FLOORS = (0.25, 0.05, 0.35, 0.35, 0.35)
 #: Bins of a distance: so many to a factor e.
@@ -64,7 +68,10 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     df = df.withColumn("__p", F.when(F.col("__same"), F.expr(places)))
     covered = "aggregate(zip_with(slice(__p, 1, size(__p) - 1), slice(__p, 2, size(__p) - 1), (a, b) -> least(3, b - a)), 3, (s, d) -> s + d)"
     df = df.withColumn("n_repeat_words", F.when(F.col("__same"), F.expr(covered)).otherwise(0).cast("long"))
-    return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("__t", "__w", "__l", "__h", "__same", "__s", "__p")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    # a generator of one row: filters on the statistics stay above it, else they would repeat the nested expressions
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(*names))))
 
 
 def _vector(df: DataFrame) -> DataFrame:
@@ -91,7 +98,7 @@ _SUMS = ["n", *[f"s{i}" for i in range(P)], *[f"p{i}{j}" for i, j in PAIRS]]
 def _estimate(moments: DataFrame, keys: list[str], factor: float) -> DataFrame:
     """Mean and inverse Cholesky factor of the covariance from moments, with the logarithm of the determinant."""
     df = moments.select(*keys, "n", *[(F.col(f"s{i}") / F.col("n") / UNIT).alias(M[i]) for i in range(P)], *[(F.col(f"p{i}{j}") / F.col("n") / UNIT**2).alias(f"p{i}{j}") for i, j in PAIRS])
-    cov = {(i, j): F.greatest(F.lit(factor) * (F.col(f"p{i}{j}") - F.col(M[i]) * F.col(M[j])), F.lit(0.0)) + FLOORS[i] ** 2 if i == j else F.lit(factor) * (F.col(f"p{i}{j}") - F.col(M[i]) * F.col(M[j])) for i, j in PAIRS}
+    cov = {(i, j): F.greatest(F.lit(factor) * (F.col(f"p{i}{j}") - F.col(M[i]) * F.col(M[j])), F.lit(FLOORS[i] ** 2)) if i == j else F.lit(factor) * (F.col(f"p{i}{j}") - F.col(M[i]) * F.col(M[j])) for i, j in PAIRS}
     df = df.select(*keys, "n", *M, *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()])
     for j in range(P):  # columns of the Cholesky factor
         df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") - reduce(add, [F.pow(f"l{j}{k}", F.lit(2)) for k in range(j)], F.lit(0.0)), F.lit(FLOORS[j] ** 2))))
@@ -141,7 +148,10 @@ def group_estimates(rows: DataFrame) -> DataFrame:
     quartiles = freeze(_quartiles(rows), "quality-quartiles")
     estimate = freeze(_starts(rows, quartiles), "quality-start")
     for _ in range(STEPS):
-        estimate = freeze(_concentrate(rows, estimate), "quality-step")
+        last, estimate = estimate, freeze(_concentrate(rows, estimate), "quality-step")
+        moved = estimate.join(last.select("g", "s", F.col("logdet").alias("was")), ["g", "s"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        if moved is None or moved < SETTLED:
+            break
     best = estimate.groupBy("g").agg(F.min_by(F.struct("s", *M, *W.values()), F.struct("logdet", "s")).alias("e")).select("g", "e.*")
     weighed = rows.join(best, "g").where(_square() <= REWEIGHT).groupBy("g").agg(*_moments())
     return freeze(_estimate(weighed, ["g"], 1.0), "quality-final")
