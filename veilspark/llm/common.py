@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,55 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources.store import discard, freeze, shared_root
+
+__all__ = ["NOT_WORD", "SEPARATORS", "WORD", "bound_batches", "cut", "discard", "freeze", "hash_fraction", "mix64", "partitions", "read_table", "shared_root", "sized_batches", "string_bytes"]
+
 #: ASCII white space that ends a word in every operator here: space and U+0009 to U+000D.
 SEPARATORS = " \t\n\x0b\x0c\r"
 NOT_WORD = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.sparkContext._conf.get("spark.veilspark.scratch")
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="veilspark-")
-        spark.sparkContext._conf.set("spark.veilspark.scratch", root)
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(os.path.join(root, "checkpoints"))
-    return root
-
-
-def freeze(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, lost executors cost nothing.
-
-    The application's tables go when its driver ends; ``discard`` removes one that is no longer read before that.
-    """
-    spark = df.sparkSession
-    folder = f"{shared_root(spark).rstrip('/')}/veilspark/{spark.sparkContext.applicationId}"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    where, fs = _file_system(spark, folder)
-    fs.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._frozen_at = path
-    return out
-
-
-def _file_system(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables that ``freeze`` gave, once everything made of them is itself written."""
-    for table in tables:
-        where, fs = _file_system(table.sparkSession, table._frozen_at)
-        fs.delete(where, True)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for small intermediate results of iterations; Spark deletes it when it is unreachable."""
     shared_root(df.sparkSession)
