@@ -1,10 +1,12 @@
+import datetime
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.functions.encoding import decrypt_rows, encrypt_rows, interval, interval_bounds, next_power_of_two, previous_power_of_two
+from veilspark.functions.encoding import decrypt_rows, encrypt_rows, interval, interval_bounds, keep_key, next_power_of_two, previous_power_of_two
 from veilspark.operators import private as P
 from veilspark.operators import relational as R
 from veilspark.operators.relational import Clause
@@ -21,7 +23,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "orders", "lineitem"):
+    for t in ("customer", "orders", "lineitem", "events"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, sql = QUERIES[name](spark, SF), con.execute(ORACLE_SQL[name])
     order = [[c[0] for c in sql.description].index(c) for c in df.columns]
@@ -53,8 +55,10 @@ def test_rules(spark, mini):
     r, _ = mini
     with pytest.raises(TypeError):
         R.filter_rows(r, Clause("pageURL", "<", "u2"))
-    with pytest.raises(ValueError):
-        R.pk_fk_join(r.union(r), r.toDF("a", "b", "c"), "pageURL", "a")
+    with pytest.raises(Exception, match="pageURL is not unique"):
+        R.pk_fk_join(r.union(r), r.toDF("a", "b", "c"), "pageURL", "a").collect()
+    nulls = r.union(spark.createDataFrame([(None, 1, 1)] * 2, r.schema))
+    assert R.pk_fk_join(nulls, r.toDF("a", "b", "c"), "pageURL", "a").count() == 5
     with pytest.raises(ValueError):
         R.equi_join(r, r, "pageURL", "pageURL")
     neg = spark.createDataFrame([(1, -7), (1, 0)], "k int, x int")
@@ -74,14 +78,58 @@ def test_plans(spark):
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 16])
 def test_padding(spark, n):
     df = spark.range(n).withColumn("v", F.col("id") % 3)
-    full = P.full_padded_filter_project(df, F.col("v") == 1, ["id"])
-    assert full.for_sink().count() == n and rows(full.reveal()) == rows(df.where("v = 1").select("id"))
-    a, b = (P.padded_filter(df, F.col("v") == 1, batch=8, seed=5) for _ in range(2))
-    assert a.padded_size() == b.padded_size() >= a.reveal().count()
+    full = P.full_padded_filter_project(df, F.col("v") == 1, ["id"]).store()
+    assert full.size() == n and rows(full.reveal()) == rows(df.where("v = 1").select("id"))
+    none = P.full_padded_filter_project(df, F.lit(False), ["id"]).store()
+    assert none.size() == n and none.reveal().count() == 0
+    a, b = (P.padded_filter(df, F.col("v") == 1, batch=8, seed=5, order="id") for _ in range(2))
+    assert a.padded_size() == b.padded_size() >= a.store().reveal().count()
     assert P.pad_multiple(df, 8).padded_size() == max(8, -(-n // 8) * 8)
-    sums = P.prefix_sums(P.batch_counts(df, F.col("v") == 1, 8, "id"), 8, 1.0, seed=2)
-    out = P.release_schedule(sums, 8).agg(F.sum("release"), F.min("release")).first()
+    out = a.schedule.agg(F.sum("release"), F.min("release")).first()
     assert (out[0] or 0) <= df.where("v = 1").count() and (out[1] or 0) >= 0
+    stored = P.padded_filter(df, F.col("v") == 1, batch=8, seed=5).store(key=b"k" * 16)
+    assert rows(stored.reveal()) == rows(df.where("v = 1")) and stored.table.select(F.octet_length("blob")).distinct().count() <= 1
+
+
+def test_padding_of_group_bys(spark):
+    df = spark.range(5000).select((F.col("id") % 700).cast("string").alias("k"), F.col("id").alias("x"))
+    ledger = P.Ledger()
+    a = P.padded_sort_group_by(df, F.col("k"), "k", "x", batch=64, seed=3, ledger=ledger)
+    assert rows(a.store().reveal()) == rows(df.groupBy("k").agg(F.sum("x")).select("sum(x)", "k")) and a.store().size() == 700 + a.dummies
+    assert a.schedule.count() == -(-5000 // 64) and a.schedule.agg(F.sum("release")).first()[0] <= 700
+    b = P.padded_hash_group_by(df.groupBy("k").count(), "k", capacity=100, noise=False, ledger=ledger)
+    passes = b.passes.collect()
+    assert len(passes) == 8 and sum(p.n for p in passes) == 700 and all(p.size % 100 == 0 and p.size >= max(100, p.n) for p in passes)
+    assert b.store().size() == sum(p.size for p in passes) and (ledger.epsilon, ledger.dummies) == (1.0, a.dummies + b.dummies)
+    with pytest.raises(ValueError):
+        P.pad_full(df, 4999)
+
+
+@pytest.mark.parametrize("kind", ["sum", "max"])
+def test_running_sum(spark, kind):
+    values = [(i, (i * 7919) % 101 - 50) for i in range(500)]
+    df = spark.createDataFrame(values, "i long, x long").repartition(7)
+    got = sorted(tuple(r) for r in R.running_sum(df, "i", "x", "s", kind).collect())
+    so_far, want = None, []
+    for i, x in values:
+        now = x if so_far is None else so_far + x if kind == "sum" else max(so_far, x)
+        want.append((i, x, now, so_far))
+        so_far = now
+    assert got == want and R.running_sum(df.limit(0), "i", "x", "s", kind).count() == 0
+
+
+def test_counts_in_storage_order(spark):
+    df = spark.range(0, 1000, 1, 3).withColumn("v", F.col("id") % 2)
+    c = sorted(tuple(r) for r in P.batch_counts(df, F.col("v") == 1, 50).collect())
+    assert [b for b, _ in c] == list(range(len(c))) and sum(n for _, n in c) == 500 and len(c) == 21
+
+
+def test_noise_is_the_same_on_the_driver(spark):
+    seen = spark.range(50).select(P.laplace(3.0, F.lit(2), "id", seed=4).alias("x")).collect()
+    assert all(abs(r.x - P.laplace_draw(3.0, 2, i, seed=4)) < 1e-9 for i, r in enumerate(seen))
+    sums = P.prefix_sums(spark.createDataFrame([(i, 10) for i in range(37)], "batch_id long, n long"), 0.5, seed=6)
+    last = sums.orderBy(F.desc("batch_id")).first()
+    assert last.prefix == 370 and abs(last.noisy - 370 - P.final_noise(37, 0.5, 6)) < 1e-9
 
 
 def test_noise(spark):
@@ -105,6 +153,19 @@ def test_crypto(spark):
     assert encrypt_rows(df.union(df), key).distinct().count() == 4
     with pytest.raises(Exception, match="AES|CRYPTO|crypto"):
         decrypt_rows(blobs, b"x" * 16, df.schema).collect()
+    when = datetime.datetime(2020, 2, 3, 4, 5, 6, 123456)
+    hard = spark.createDataFrame([(when, when, 0.1 + 0.2, float("nan"), float("-inf"), Decimal("1.20"), b"\x00\xff", [1, None], {"a": 1.5}, (None, "x"))], "t timestamp, n timestamp_ntz, d double, q double, f double, c decimal(5,2), b binary, a array<int>, m map<string,double>, s struct<u:int,w:string>")
+    name = keep_key(spark, key)
+    for equal in (False, True):
+        blob = encrypt_rows(hard, name, equal)
+        assert str(decrypt_rows(blob, name, hard.schema).collect()) == str(hard.collect())
+        assert key.hex() not in blob._jdf.queryExecution().toString().lower().replace(" ", "")
+    with pytest.raises(Exception, match="no key"):
+        encrypt_rows(hard, "no.such.key").collect()
+    with pytest.raises(TypeError):
+        encrypt_rows(spark.sql("select interval 1 day i"), key)
+    with pytest.raises(Exception):
+        decrypt_rows(blobs, key, "i int, s int").collect()
 
 
 def test_small_helpers(spark):
@@ -117,6 +178,8 @@ def test_small_helpers(spark):
     with pytest.raises(ValueError):
         c.create("tab", r.schema)
     assert c.drop("tab") and not c.exists("tab")
+    flagged = spark.createDataFrame([(5, False), (6, True)], "x int, is_dummy boolean")
+    assert R.table_text(flagged) == "x int\n5"
 
 
 def test_sorted_across_blocks(spark):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import secrets
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def date_int(c: str | Column) -> Column:
@@ -46,17 +47,54 @@ def previous_power_of_two(n: int) -> int:
 
 
 def session_key() -> bytes:
-    """A fresh 128-bit key, held on the driver."""
+    """A fresh 128-bit key."""
     return secrets.token_bytes(16)
 
 
-def encrypt_rows(df: DataFrame, key: bytes) -> DataFrame:
-    """Each row as one AES-GCM blob with a fresh initialisation vector (column ``blob``)."""
-    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
-    return df.select(F.aes_encrypt(F.encode(whole, "utf-8"), F.lit(key), F.lit("GCM")).alias("blob"))
+def keep_key(spark: SparkSession, key: bytes, name: str = "veilspark.key") -> str:
+    """Keep the key as a system property of this JVM and give the property's name, which is all that plans, the UI and
+    event logs then see. On a cluster start executors with the same property (``-Dname=hex``)."""
+    spark._jvm.java.lang.System.setProperty(name, key.hex())
+    return name
 
 
-def decrypt_rows(df: DataFrame, key: bytes, schema) -> DataFrame:
-    """The rows again; a changed blob or a wrong key raises."""
-    text = F.decode(F.aes_decrypt("blob", F.lit(key), F.lit("GCM")), "utf-8")
-    return df.select(F.from_json(text, schema).alias("r")).select("r.*")
+def _key(key: bytes | str) -> Column:
+    """Bytes stand in the plan; a name is looked up where the row is."""
+    if isinstance(key, bytes):
+        return F.lit(key)
+    found = F.java_method(F.lit("java.lang.System"), F.lit("getProperty"), F.lit(key))
+    return F.unhex(F.coalesce(F.nullif(found, F.lit("null")), F.raise_error(F.lit(f"no key in the property {key}")).cast("string")))
+
+
+def _survives(kind: T.DataType) -> bool:
+    """Does a value come back from JSON as it was?"""
+    if isinstance(kind, T.StructType):
+        return all(_survives(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _survives(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return isinstance(kind.keyType, T.StringType) and _survives(kind.valueType)
+    return isinstance(kind, T.StringType | T.BooleanType | T.IntegralType | T.FractionalType | T.DateType | T.TimestampType | T.TimestampNTZType | T.BinaryType)
+
+
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def encrypt_rows(df: DataFrame, key: bytes | str, equal_length: bool = False) -> DataFrame:
+    """Each row as one AES-GCM blob with a fresh initialisation vector (column ``blob``), to the microsecond; columns of
+    types that JSON doesn't carry raise. ``equal_length`` fills all rows up to the next power of two of the longest."""
+    lost = [f.name for f in df.schema if not _survives(f.dataType)]
+    if lost:
+        raise TypeError(f"{lost} can't be encrypted without loss")
+    whole = df.select(F.encode(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"} | _TIMES), "utf-8").alias("row"))
+    row = F.col("row")
+    if equal_length:
+        most = whole.agg(F.max(F.octet_length("row"))).first()[0] or 1
+        row = F.rpad(row, next_power_of_two(most), F.lit(b" "))
+    return whole.select(F.aes_encrypt(row, _key(key), F.lit("GCM")).alias("blob"))
+
+
+def decrypt_rows(df: DataFrame, key: bytes | str, schema) -> DataFrame:
+    """The rows again; a changed blob, a wrong key or a row that doesn't fit the schema raises."""
+    text = F.decode(F.aes_decrypt("blob", _key(key), F.lit("GCM")), "utf-8")
+    return df.select(F.from_json(text, schema, {"mode": "FAILFAST"} | _TIMES).alias("r")).select("r.*")

@@ -1,142 +1,246 @@
-"""Size hiding: Laplace noise, noisy prefix counts, release schedules, dummy rows, distinct-count sketches."""
+"""Size hiding: Laplace noise, noisy prefix counts, release schedules, dummy rows, distinct-count sketches.
+
+Draws are functions of a seed and of what they are for, by SHA-256, so that any engine can check a seeded run.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import math
 import secrets
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.operators.relational import DUMMY
+from veilspark.functions.encoding import decrypt_rows, encrypt_rows, next_power_of_two
+from veilspark.operators.relational import DUMMY, running_sum
+from veilspark.sources.store import freeze, new_path
 
 
 def uniform(*columns: str | Column, seed: int, salt: int) -> Column:
     """In (0, 1), from the values alone, so it doesn't depend on partitions."""
-    return (F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed), F.lit(salt)), 11) + F.lit(0.5)) / F.lit(2.0**53)
+    told = F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns], F.lit(str(salt)))
+    return (F.conv(F.substring(F.sha2(told, 256), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(2.0**52)
 
 
 def laplace(b: float | Column, *columns: str | Column, seed: int) -> Column:
     """Laplace noise of scale b and mean 0: a sign, and an exponential draw."""
     sign = F.when(uniform(*columns, seed=seed, salt=1) < 0.5, -1.0).otherwise(1.0)
-    return -sign * F.lit(b) * F.log(uniform(*columns, seed=seed, salt=2)) if not isinstance(b, Column) else -sign * b * F.log(uniform(*columns, seed=seed, salt=2))
+    return -sign * (b if isinstance(b, Column) else F.lit(b)) * F.log(uniform(*columns, seed=seed, salt=2))
 
 
 def laplace_draw(b: float, *key, seed: int) -> float:
-    """The same distribution on the driver, for a key."""
-    raw = hashlib.sha256(repr((seed, *key)).encode()).digest()
-    u, v = ((int.from_bytes(raw[i : i + 8], "big") >> 11) + 0.5 for i in (0, 8))
-    return (1 if u / 2**53 < 0.5 else -1) * -b * math.log(v / 2**53)
+    """The same draw on the driver."""
+    u, v = ((int(hashlib.sha256(":".join(map(str, (seed, *key, salt))).encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for salt in (1, 2))
+    return (1 if u < 0.5 else -1) * b * math.log(v)
 
 
 def batch_counts(df: DataFrame, matched: Column, batch: int, order: str | None = None) -> DataFrame:
-    """(batch_id, n): matching rows of each run of ``batch`` rows, by ``order`` (numbers from 0) or storage order."""
-    if order is None:
-        number = F.struct(F.spark_partition_id().alias("p"), F.floor((F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)) / batch).alias("b"))
-    else:
-        number = F.floor(F.col(order) / batch)
-    return df.select(number.alias("batch_id"), matched.cast("long").alias("m")).groupBy("batch_id").agg(F.sum("m").alias("n"))
-
-
-def prefix_sums(counts: DataFrame, batch: int, epsilon: float, seed: int, single_draw: bool = False) -> DataFrame:
+    """(batch_id, n): matching rows of each run of ``batch`` rows, by ``order`` (numbers from 0) or storage order, where
+    a file's last run may be shorter."""
+    if order is not None:
+        return df.select(F.floor(F.col(order) / batch).alias("batch_id"), matched.cast("long").alias("m")).groupBy("batch_id").agg(F.sum("m").alias("n"))
+    row = F.monotonically_increasing_id()
+    runs = df.select(F.shiftright(row, 33).alias("p"), F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / batch).alias("b"), matched.cast("long").alias("m"))
+    runs = freeze(runs.groupBy("p", "b").agg(F.sum("m").alias("n")), "batch-counts")
+    # one row per partition of the scan
+    before = runs.groupBy("p").agg(F.max("b").alias("last")).select("p", F.coalesce(F.sum(F.col("last") + 1).over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return runs.join(F.broadcast(before), "p").select((F.col("before") + F.col("b")).alias("batch_id"), "n")
+
+
+def prefix_sums(counts: DataFrame, epsilon: float, seed: int, batches: int | None = None, single_draw: bool = False) -> DataFrame:
     """(batch_id, n, prefix, noisy): running counts and their noisy form, by batch_id 0, 1, 2, ...
 
-    Binary mechanism: the noise of a prefix is the sum over the dyadic intervals it is made of, each with its own
-    reused draw of scale levels / epsilon. ``single_draw`` adds one draw of scale log2(batches so far) / epsilon.
-    The input has one row per batch, far fewer than rows.
+    Binary mechanism: the noise of the prefix of k batches is the sum over the dyadic intervals that it is made of, each
+    with its own reused draw of scale levels / epsilon, where ``batches`` (the number of all of them, which the input's
+    size tells) has so many binary digits. ``single_draw`` adds one draw of scale log2(k) / epsilon instead. An infinite
+    epsilon adds nothing. Running counts are summed by blocks of batches, then over the blocks.
     """
-    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("prefix", F.sum("n").over(w)).withColumn("k", F.row_number().over(Window.orderBy("batch_id")).cast("long"))
-    if single_draw:
+    run = running_sum(counts, "batch_id", "n", "prefix").withColumn("k", F.col("batch_id") + 1)
+    if math.isinf(epsilon):
+        noise = F.lit(0.0)
+    elif single_draw:
         noise = laplace(F.log2("k") / epsilon, "k", seed=seed)
     else:
-        levels = F.floor(F.log2("k")) + 1
-        bits = F.filter(F.sequence(F.lit(0), F.lit(40)), lambda i: F.expr("shiftright(k, 1)").isNotNull() & (F.pmod(F.floor(F.col("k") / F.pow(F.lit(2.0), i)), F.lit(2)) == 1))
-        nodes = F.transform(bits, lambda i: F.struct(i.alias("level"), F.floor(F.col("k") / F.pow(F.lit(2.0), i)).alias("node")))
-        draw = lambda x: laplace(1.0 / epsilon, x["level"], x["node"], seed=seed)
-        noise = levels * F.aggregate(nodes, F.lit(0.0), lambda s, x: s + draw(x))
+        levels = (counts.agg(F.max("batch_id") + 1).first()[0] or 1 if batches is None else max(1, batches)).bit_length()
+        bits = [F.when(F.shiftright("k", i).bitwiseAND(F.lit(1)) == 1, laplace(levels / epsilon, F.lit(i), F.shiftright("k", i), seed=seed)).otherwise(0.0) for i in range(levels)]
+        noise = sum(bits[1:], bits[0])
     return run.select("batch_id", "n", "prefix", (F.col("prefix") + noise).alias("noisy"))
 
 
+def final_noise(batches: int, epsilon: float, seed: int) -> float:
+    """What ``prefix_sums`` adds to the count of all batches."""
+    levels = max(1, batches).bit_length()
+    return 0.0 if math.isinf(epsilon) else sum(laplace_draw(levels / epsilon, i, max(1, batches) >> i, seed=seed) for i in range(levels) if max(1, batches) >> i & 1)
+
+
 def release_schedule(sums: DataFrame, batch: int) -> DataFrame:
     """(batch_id, release): rows given out after each batch so that noisy prefix - batch are out, clamped to what is
     there and never taken back."""
     want = F.greatest(F.least(F.floor(F.col("noisy")) - batch, F.col("prefix")), F.lit(0))
-    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = sums.withColumn("out", F.max(want).over(w))
-    return out.select("batch_id", (F.col("out") - F.coalesce(F.lag("out").over(Window.orderBy("batch_id")), F.lit(0))).cast("long").alias("release"))
+    out = running_sum(sums.select("batch_id", want.cast("long").alias("want")), "batch_id", "want", "out", kind="max")
+    return out.select("batch_id", (F.col("out") - F.greatest(F.col("out_before"), F.lit(0))).cast("long").alias("release"))
+
+
+@dataclass
+class Ledger:
+    """What a query of several padded operators has spent: epsilon, and dummy rows written."""
+
+    entries: list[tuple[str, float, int]] = field(default_factory=list)
+
+    @property
+    def epsilon(self) -> float:
+        """Under sequential composition."""
+        return sum(e for _, e, _ in self.entries)
+
+    @property
+    def dummies(self) -> int:
+        return sum(n for _, _, n in self.entries)
 
 
 @dataclass
 class PaddedFrame:
-    """Rows beside dummies that only ``reveal`` tells apart. ``df`` is for sinks: measure sizes on what is written."""
+    """A result beside dummies. Sizes are hidden in what is written, so write it: ``store`` gives the table read back."""
 
     _rows: DataFrame
     dummies: int
     epsilon: float = 0.0
+    schedule: DataFrame | None = None
+    passes: DataFrame | None = None
 
-    def reveal(self) -> DataFrame:
-        return self._rows
-
-    def for_sink(self) -> DataFrame:
-        """Real rows and dummies (null in every column) with the flag column."""
+    def for_sink(self, key: str | bytes | None = None) -> DataFrame:
+        """Real rows and dummies (null in every column) with the flag column, in random order; with a key, each row with
+        its flag as one blob, all of one length."""
         if DUMMY in self._rows.columns:
             raise ValueError(f"{DUMMY} is a column already")
-        real = self._rows.withColumn(DUMMY, F.lit(False))
         spark: SparkSession = self._rows.sparkSession
         none = spark.range(self.dummies).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self._rows.schema], F.lit(True).alias(DUMMY))
-        return real.union(none)
+        every = self._rows.withColumn(DUMMY, F.lit(False)).union(none)
+        every = every.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.rand()).sortWithinPartitions(F.rand())
+        return every if key is None else encrypt_rows(every, key, equal_length=True)
+
+    def store(self, path: str | None = None, key: str | bytes | None = None) -> StoredFrame:
+        spark = self._rows.sparkSession
+        path = path or new_path(spark, "padded")
+        self.for_sink(key).write.parquet(path)
+        return StoredFrame(spark.read.parquet(path), self._rows.withColumn(DUMMY, F.lit(False)).schema, key)
 
     def padded_size(self) -> int:
-        return self._rows.count() + self.dummies
+        """Rows of what is written."""
+        return self.store().size()
+
+
+@dataclass
+class StoredFrame:
+    """A padded result as it was written."""
+
+    table: DataFrame
+    schema: object
+    key: str | bytes | None = None
+
+    def size(self) -> int:
+        return self.table.count()
+
+    def reveal(self) -> DataFrame:
+        """The real rows, told by the flag in each."""
+        rows = self.table if self.key is None else decrypt_rows(self.table, self.key, self.schema)
+        return rows.where(~F.col(DUMMY)).drop(DUMMY)
+
+
+def _told(ledger: Ledger | None, name: str, frame: PaddedFrame) -> PaddedFrame:
+    if ledger is not None:
+        ledger.entries.append((name, frame.epsilon, frame.dummies))
+    return frame
 
 
-def pad_full(rows: DataFrame, bound: int) -> PaddedFrame:
+def pad_full(rows: DataFrame, bound: int, ledger: Ledger | None = None) -> PaddedFrame:
     """Up to a bound that doesn't depend on the result, such as the input's size."""
+    rows = freeze(rows, "result")
     n = rows.count()
     if n > bound:
         raise ValueError(f"{n} rows exceed the bound {bound}")
-    return PaddedFrame(rows, bound - n)
+    return _told(ledger, "pad_full", PaddedFrame(rows, bound - n))
 
 
-def pad_multiple(rows: DataFrame, multiple: int) -> PaddedFrame:
+def pad_multiple(rows: DataFrame, multiple: int, ledger: Ledger | None = None) -> PaddedFrame:
     """Up to the next multiple (at least one)."""
+    rows = freeze(rows, "result")
     n = rows.count()
-    return PaddedFrame(rows, max(1, -(-n // multiple)) * multiple - n)
+    return _told(ledger, "pad_multiple", PaddedFrame(rows, max(1, -(-n // multiple)) * multiple - n))
 
 
-def pad_private(rows: DataFrame, input_rows: int, batch: int, epsilon: float, seed: int | None = None) -> PaddedFrame:
-    """Up to the noisy final prefix count plus one batch, never below the true size."""
+def pad_private(rows: DataFrame, input_rows: int, batch: int, epsilon: float, seed: int | None = None, counts: DataFrame | None = None, ledger: Ledger | None = None, name: str = "pad_private") -> PaddedFrame:
+    """Up to the noisy final prefix count plus one batch, never below the true size. The result is written once and
+    counted there. With ``counts(batch_id, n)``, result rows by batch of input, the frame has the release schedule too:
+    rows that are out after each batch; what is left and the dummies follow at the end."""
     seed = secrets.randbits(60) if seed is None else seed
+    rows = freeze(rows, "result")
     n, batches = rows.count(), max(1, -(-input_rows // batch))
-    levels = batches.bit_length()
-    noise = sum(laplace_draw(levels / epsilon, level, batches >> level, seed=seed) for level in range(levels) if batches >> level & 1)
-    return PaddedFrame(rows, max(0, math.floor(n + noise) + batch - n), epsilon)
+    dummies = max(0, math.floor(n + final_noise(batches, epsilon, seed)) + batch - n)
+    schedule = None if counts is None else release_schedule(prefix_sums(counts, epsilon, seed, batches), batch)
+    return _told(ledger, name, PaddedFrame(rows, dummies, epsilon, schedule))
+
+
+def padded_filter_project(df: DataFrame, condition: Column, columns: list[str], batch: int = 1024, epsilon: float = 1.02, seed: int | None = None, order: str | None = None, ledger: Ledger | None = None) -> PaddedFrame:
+    """``order``, a column of row numbers from 0, asks for the release schedule."""
+    counts = None if order is None else batch_counts(df, condition, batch, order)
+    return pad_private(df.where(condition).select(*columns), df.count(), batch, epsilon, seed, counts, ledger, "filter_project")
+
+
+def padded_filter(df: DataFrame, condition: Column, batch: int = 65_536, epsilon: float = 1.0, seed: int | None = None, order: str | None = None, ledger: Ledger | None = None) -> PaddedFrame:
+    counts = None if order is None else batch_counts(df, condition, batch, order)
+    return pad_private(df.where(condition), df.count(), batch, epsilon, seed, counts, ledger, "filter")
+
+
+def padded_project(df: DataFrame, columns: list[str], batch: int = 65_536, epsilon: float = 1.0, seed: int | None = None, order: str | None = None, ledger: Ledger | None = None) -> PaddedFrame:
+    counts = None if order is None else batch_counts(df, F.lit(True), batch, order)
+    return pad_private(df.select(*columns), df.count(), batch, epsilon, seed, counts, ledger, "project")
+
+
+def full_padded_filter_project(df: DataFrame, condition: Column, columns: list[str], ledger: Ledger | None = None) -> PaddedFrame:
+    return pad_full(df.where(condition).select(*columns), df.count(), ledger)
 
 
-def padded_filter_project(df: DataFrame, condition: Column, columns: list[str], batch: int = 1024, epsilon: float = 1.02, seed: int | None = None) -> PaddedFrame:
-    return pad_private(df.where(condition).select(*columns), df.count(), batch, epsilon, seed)
+def padded_sort_group_by(df: DataFrame, key: Column, name: str, value: str, batch: int = 1024, epsilon: float = 1.0, seed: int | None = None, ledger: Ledger | None = None) -> PaddedFrame:
+    """SUM of ``value`` by ``key``. The schedule is that of a scan in key order, which gives a group out at its last row:
+    where that row stands is a running sum of the groups' sizes."""
+    groups = freeze(df.groupBy(key.alias(name)).agg(F.sum(value).cast("long").alias(f"sum_{value}"), F.count("*").alias("__n")), "groups")
+    ends = running_sum(groups.select(name, "__n"), name, "__n", "__end")
+    n = groups.agg(F.sum("__n")).first()[0] or 0
+    every = df.sparkSession.range(max(1, -(-n // batch))).select(F.col("id").alias("batch_id"))
+    counts = every.join(ends.groupBy(F.floor((F.col("__end") - 1) / batch).alias("batch_id")).agg(F.count("*").alias("n")), "batch_id", "left").select("batch_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return pad_private(groups.select(f"sum_{value}", name), n, batch, epsilon, seed, counts, ledger, "sort_group_by")
 
 
-def padded_filter(df: DataFrame, condition: Column, batch: int = 65_536, epsilon: float = 1.0, seed: int | None = None) -> PaddedFrame:
-    return pad_private(df.where(condition), df.count(), batch, epsilon, seed)
+def padded_hash_group_by(groups: DataFrame, key: str, capacity: int = 400_000, t: int = 10_000, seed: int | None = None, noise: bool = True, ledger: Ledger | None = None) -> PaddedFrame:
+    """A group-by's result in passes of ``capacity`` rows each: their number follows the estimated count of groups, a
+    group's pass the hash of its key. A pass that has more (the hash deals unevenly) takes the next multiple.
+    ``passes`` has a row for each: pass, n, size."""
+    groups = freeze(groups, "result")
+    many = int(max(0.0, distinct_count_kmv(groups, key, t, epsilon_noise=noise, seed=seed))) // capacity + 1
+    found = groups.groupBy(F.pmod(F.xxhash64(key), F.lit(many)).alias("pass")).agg(F.count("*").alias("n"))
+    sizes = groups.sparkSession.range(many).select(F.col("id").alias("pass")).join(found, "pass", "left").select("pass", F.coalesce("n", F.lit(0)).alias("n"))
+    passes = freeze(sizes.withColumn("size", F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)).cast("long") * capacity), "passes")
+    size, n = passes.agg(F.sum("size"), F.sum("n")).first()
+    return _told(ledger, "hash_group_by", PaddedFrame(groups, size - n, 0.0, passes=passes))
 
 
-def padded_project(df: DataFrame, columns: list[str], batch: int = 65_536, epsilon: float = 1.0, seed: int | None = None) -> PaddedFrame:
-    return pad_private(df.select(*columns), df.count(), batch, epsilon, seed)
+def padded_join(joined: DataFrame, input_rows: int, batch: int = 8192, epsilon: float = 1.02, seed: int | None = None, ledger: Ledger | None = None) -> PaddedFrame:
+    """The result of a join of so many rows on both sides together."""
+    return pad_private(joined, input_rows, batch, epsilon, seed, None, ledger, "join")
 
 
-def full_padded_filter_project(df: DataFrame, condition: Column, columns: list[str]) -> PaddedFrame:
-    return pad_full(df.where(condition).select(*columns), df.count())
+def join_bound(left_rows: int, right_rows: int, block: int = 50_000) -> int:
+    """A size that doesn't depend on how many rows match: the worst case by blocks, a hundred matches for each left row at least."""
+    return max(left_rows * right_rows // block, 100 * left_rows)
 
 
 def distinct_count_kmv(df: DataFrame, column: str, t: int = 10_000, delta: float = 1e-6, epsilon_noise: bool = True, seed: int | None = None) -> float:
     """From the t smallest distinct hashes: exact below t, else 1.075 t / v with v the t-th as a fraction, and noise
     of scale 0.02 (t / v) / ln(3 / delta). The t hashes come from a bounded top-t, not from a sort."""
-    h = F.conv(F.substring(F.sha2(F.col(column).cast("string"), 256), 1, 12), 16, 10).cast("long")
-    least = df.where(F.col(column).isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(t)
+    h = F.conv(F.substring(F.sha2(F.col(f"`{column}`").cast("string"), 256), 1, 12), 16, 10).cast("long")
+    least = df.where(F.col(f"`{column}`").isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(t)
     n, last = least.agg(F.count("*"), F.max("h")).first()
     if n < t:
         return float(n)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.functions.encoding import prefix
+from veilspark.sources.store import freeze
 
 DUMMY = "is_dummy"
 _OPS = {"<": Column.__lt__, "=": Column.__eq__, ">": Column.__gt__, ">=": Column.__ge__, "<=": Column.__le__, "<>": Column.__ne__}
@@ -74,9 +75,12 @@ def equi_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, ke
 
 
 def pk_fk_join(primary: DataFrame, foreign: DataFrame, primary_key: str, foreign_key: str, duplicates: str = "raise", **how) -> DataFrame:
-    """Each foreign row with its primary row. Repeated primary keys raise, or ``duplicates='join'`` joins all of them."""
-    if duplicates == "raise" and not primary.groupBy(primary_key).count().where("count > 1").isEmpty():
-        raise ValueError(f"{primary_key} is not unique")
+    """Each foreign row with its primary row. Repeated primary keys raise when the join runs (its own shuffle by the key
+    counts them), or ``duplicates='join'`` joins all of them; 'unique' takes the caller's word for the key."""
+    if duplicates == "raise":
+        many = Window.partitionBy(f"`{primary_key}`")
+        alone = F.when(F.count(F.lit(1)).over(many) == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"{primary_key} is not unique")).cast("boolean"))
+        primary = primary.where(F.col(f"`{primary_key}`").isNotNull()).withColumn("__alone", alone).where("__alone").drop("__alone")
     return equi_join(primary, foreign, primary_key, foreign_key, **how)
 
 
@@ -102,14 +106,30 @@ def order_by(df: DataFrame, *columns: tuple[str, bool], limit: int | None = None
     return out if limit is None else out.limit(limit)
 
 
+def running_sum(df: DataFrame, by: str, value: str, name: str, kind: str = "sum") -> DataFrame:
+    """``df`` with the running sum (or max) of ``value`` in order of ``by``, which is unique, and the one before each row
+    as ``{name}_before`` (null for the first). Ranges are summed apart, then their totals, one row per range."""
+    over = {"sum": F.sum, "max": F.max}[kind]
+    part = freeze(df.repartitionByRange(F.asc(by)).withColumn("__p", F.spark_partition_id()), "ranges")
+    upto = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = part.groupBy("__p").agg(over(value).alias("__t")).select("__p", over("__t").over(upto).alias("__b"))
+    inside = Window.partitionBy("__p").orderBy(by)
+    here = [over(value).over(inside.rowsBetween(Window.unboundedPreceding, e)) for e in (0, -1)]
+    both = (lambda a, b: F.coalesce(a + b, a, b)) if kind == "sum" else F.greatest
+    joined = part.withColumn("__i", here[0]).withColumn("__j", here[1]).join(F.broadcast(totals), "__p")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], both(F.col("__i"), F.col("__b")).alias(name), both(F.col("__j"), F.col("__b")).alias(f"{name}_before"))
+
+
 def ranked(df: DataFrame, *columns: tuple[str, bool], name: str = "rank") -> DataFrame:
     """The position of each row in that order, without moving all rows to one task: rows of each range are numbered
-    within it and offset by the number of rows in the ranges before (one count per range)."""
+    within it, as they are written, and offset by the number of rows in the ranges before (one count per range)."""
     keys = [F.asc(f"`{c}`") if up else F.desc(f"`{c}`") for c, up in columns]
-    part = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    row = F.monotonically_increasing_id()
+    part = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.shiftright(row, 33)).withColumn("__i", row.bitwiseAND(F.lit((1 << 33) - 1)))
+    part = freeze(part, "ranges")
     counts = part.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    return part.join(F.broadcast(before), "__p").select(*df.columns, (F.col("__b") + F.col("__i") + 1).alias(name))  # one row per range
+    return part.join(F.broadcast(before), "__p").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__b") + F.col("__i") + 1).alias(name))  # one row per range
 
 
 def is_sorted(df: DataFrame, *columns: tuple[str, bool], position: str) -> DataFrame:
@@ -129,3 +149,10 @@ def is_sorted(df: DataFrame, *columns: tuple[str, bool], position: str) -> DataF
     ends = block.where(F.col(position).isNotNull()).groupBy("__b").agg(F.min_by(row, position).alias("first"), F.max_by(row, position).alias("last"))
     between = ends.select(wrong(F.col("first"), F.lag("last").over(Window.orderBy("__b"))).alias("w")).agg(F.max("w").alias("w"))
     return inside.union(between).agg((~F.coalesce(F.max("w"), F.lit(False))).alias("is_sorted"))
+
+
+def table_text(df: DataFrame, rows: int = 20) -> str:
+    """The schema and the first real rows, as text for people."""
+    real = df.where(~F.col(DUMMY)).drop(DUMMY) if DUMMY in df.columns else df
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in real.schema)
+    return "\n".join([types, *("\t".join(map(str, r)) for r in real.limit(rows).collect())])

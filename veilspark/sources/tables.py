@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,12 +45,19 @@ def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("pageURL"), F.floor(F.col("o_totalprice") / 100).cast("int").alias("pageRank"), (F.col("o_custkey") % 100).cast("int").alias("avgDuration"))
 
 
+def visit_url() -> Column:
+    return F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("destURL")
+
+
+def visit_ip() -> Column:
+    return F.concat_ws(".", *[x.cast("string") for x in (F.col("l_suppkey") % 256, F.col("l_partkey") % 256, F.col("l_linenumber"), F.col("l_orderkey") % 256)]).alias("sourceIP")
+
+
 def uservisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    ip = F.concat_ws(".", *[x.cast("string") for x in (F.col("l_suppkey") % 256, F.col("l_partkey") % 256, F.col("l_linenumber"), F.col("l_orderkey") % 256)])
     return line.select(
-        F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("destURL"),
-        ip.alias("sourceIP"),
+        visit_url(),
+        visit_ip(),
         date_int("l_shipdate").alias("visitDate"),
         F.floor(F.col("l_extendedprice") * 100).cast("int").alias("adRevenue"),
         F.floor("l_quantity").cast("int").alias("duration"),
