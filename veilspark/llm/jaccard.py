@@ -9,10 +9,11 @@ for each other. Pairs are worked off in four steps:
 1. within a group, every member meets the smallest one;
 2. every group meets, of the centres of its prefix lists (the group with the fewest rarer shingles, as an original
    among its near copies), the one that it shares most lists with, member against member; links give components;
-3. a few draws of partner groups in *different* components, one member each, join copies that have no such original:
-   first those with the fewest rarer shingles in a list, then random ones;
-4. all pairs of groups whose members are still in different components, and groups that are themselves in several,
-   are expanded in full.
+3. where pairs of groups in *different* components are many in a bucket of lists, as among copies that have no such
+   original, a few draws of partners, one member each, join most of them: first those with the fewest rarer shingles
+   in a list, then random ones;
+4. once they are few, all pairs of groups whose members are still in different components are expanded in full, as are
+   groups that are themselves in several.
 
 A pair left out is already connected, so components are those of the complete link graph while a group of m copies
 costs m verifications, not m * m. Postings travel as packed arrays, one row per (mapper, bucket).
@@ -25,6 +26,7 @@ doc_id give a row each, all of one component: each text of the id is verified by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,10 @@ from veilspark.llm.shingles import shingle_sets
 #: Frequent shingles: each task names at most LOCAL_HOT, of which the HOT most frequent are broadcast (16 bytes each).
 LOCAL_HOT, HOT = 1 << 14, 1 << 18
 #: Postings that a task packs at once; those in a bucket on average; rows of the hash filter in front of the text lookup (a fixed size).
-FLUSH, BUCKET, FILTER = 1_000_000, 2_000_000, 1 << 18
-#: Draws before all pairs that are left meet; partners that a group picks from each list, at random and by the fewest rarer shingles; those kept in a bucket.
-DRAWS, PICKS, FIRST, DRAWN = 4, 4, 8, 64
+FLUSH, BUCKET, FILTER = 1_000_000, 1_000_000, 1 << 18
+#: Draws at most before all pairs that are left meet; pairs for each group of a bucket that are few; partners that a group
+#: picks from each list, at random and by the fewest rarer shingles; those kept in a bucket.
+DRAWS, FEW, PICKS, FIRST, DRAWN = 4, 2, 4, 8, 64
 #: Repeated sets up to which their list is broadcast (32 bytes each).
 REPEATED = 200_000
 
@@ -260,26 +263,51 @@ def _rows(kind: int, bucket: int, a, b, times, packed=None) -> pa.RecordBatch:
     return pa.record_batch([*ints, *longs, *blobs], [x.split()[0] for x in _STEP.split(", ")])
 
 
-def _rest(num: int, den: int, draw: int | None = None, chunk: int = 1 << 20):
-    """Steps 3 and 4 of a bucket: all pairs of groups of different components that pass the filters, each once.
+def _mixed(doc, begin, mine) -> np.ndarray:
+    """Entries of the lists that have several components."""
+    starts = np.unique(begin)
+    mixed = np.minimum.reduceat(mine, starts) != np.maximum.reduceat(mine, starts) if len(starts) else np.zeros(0, bool)
+    return np.flatnonzero(np.repeat(mixed, np.diff(np.append(starts, len(doc)))))
 
-    With ``draw``, a number, only a few pairs of each group: those with the FIRST groups of fewest rarer shingles in
-    its lists (0), or another random choice for each number.
+
+def _drawn(lists, entries, mine, at, draw: int, num: int, den: int) -> np.ndarray:
+    """A few pairs of each group: those with the FIRST groups of its lists (draw 0), or another random choice for each number."""
+    _, doc, size, place, begin, end = lists
+    i = np.repeat(entries, PICKS if draw else FIRST)
+    if draw:
+        j = begin[i] + (mix64(np.arange(len(i), dtype=np.uint64) + np.uint64(1 + draw << 40)) % (end[i] - begin[i]).astype(np.uint64)).astype(np.int64)
+    else:
+        j = np.minimum(begin[i] + np.tile(np.arange(FIRST), len(entries)), end[i] - 1)
+    ok = (mine[i] != mine[j]) & _enough(size[i], size[j], place[i], place[j], num, den)
+    x, y = at[i[ok]].astype(np.uint64), at[j[ok]].astype(np.uint64)
+    some = np.unique(np.minimum(x, y) << np.uint64(32) | np.maximum(x, y))
+    some = some[np.lexsort((mix64(some), some >> np.uint64(32)))]
+    new = np.flatnonzero(np.diff(some >> np.uint64(32), prepend=np.uint64(0xFFFFFFFF)))
+    rank = np.arange(len(some)) - np.repeat(new, np.diff(np.append(new, len(some))))
+    return some[rank < DRAWN]
+
+
+_FOUND = "bucket long, a long, b long, whole boolean"
+
+
+def _rest(num: int, den: int, draw: int, few: int | None, chunk: int = 1 << 20):
+    """Steps 3 and 4 of a bucket: all pairs of groups of different components that pass the filters, each once (whole).
+
+    Where there are more than ``few`` for each group, a draw of them instead, and a row without a pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, packs, maps in _grouped(batches):
+        for bucket, packs, maps in _grouped(batches):
             arrays = _arrays(packs)
-            token, doc, size, place, begin, end = _lists(*arrays, arrays[3] if draw == 0 else arrays[2])
+            packs.clear()
+            token, doc, size, place, begin, end = _lists(*arrays, arrays[2])
             ids, at = np.unique(doc, return_inverse=True)
             label = ids.copy()
             if maps:
                 node, to = (np.concatenate(x) for x in zip(*maps, strict=True))
                 label[np.searchsorted(ids, node)] = to
             mine = label[at]
-            starts = np.unique(begin)
-            mixed = np.minimum.reduceat(mine, starts) != np.maximum.reduceat(mine, starts) if len(starts) else np.zeros(0, bool)
-            entries = np.flatnonzero(np.repeat(mixed, np.diff(np.append(starts, len(doc)))))
+            entries = _mixed(doc, begin, mine)
             if not len(entries):
                 continue
             # within a list entries ascend by size: partners of i follow it, up to size * den / num
@@ -288,21 +316,7 @@ def _rest(num: int, den: int, draw: int | None = None, chunk: int = 1 << 20):
             key = list_no * scale + size
             stop = np.searchsorted(key, list_no[entries] * scale + size[entries] * den // num, side="right")
             partners = np.maximum(stop - entries - 1, 0)
-            if draw is not None:
-                i = np.repeat(entries, PICKS if draw else FIRST)
-                if draw:
-                    j = begin[i] + (mix64(np.arange(len(i), dtype=np.uint64) + np.uint64(1 + draw << 40)) % (end[i] - begin[i]).astype(np.uint64)).astype(np.int64)
-                else:
-                    j = np.minimum(begin[i] + np.tile(np.arange(FIRST), len(entries)), end[i] - 1)
-                ok = (mine[i] != mine[j]) & _enough(size[i], size[j], place[i], place[j], num, den)
-                x, y = at[i[ok]].astype(np.uint64), at[j[ok]].astype(np.uint64)
-                some = np.unique(np.minimum(x, y) << np.uint64(32) | np.maximum(x, y))
-                some = some[np.lexsort((mix64(some), some >> np.uint64(32)))]
-                new = np.flatnonzero(np.diff(some >> np.uint64(32), prepend=np.uint64(0xFFFFFFFF)))
-                rank = np.arange(len(some)) - np.repeat(new, np.diff(np.append(new, len(some))))
-                if len(some):
-                    yield _pairs(ids, some[rank < DRAWN])
-                continue
+            most = None if few is None else few * len(ids) + 1000
             found = np.zeros(0, np.uint64)
             edge = 0
             while edge < len(entries):
@@ -313,18 +327,31 @@ def _rest(num: int, den: int, draw: int | None = None, chunk: int = 1 << 20):
                 ok = (mine[i] != mine[j]) & _enough(size[i], size[j], place[i], place[j], num, den)
                 x, y = at[i[ok]].astype(np.uint64), at[j[ok]].astype(np.uint64)
                 found = np.unique(np.concatenate((found, np.minimum(x, y) << np.uint64(32) | np.maximum(x, y))))
-                if len(found) > 4 * chunk:
-                    yield _pairs(ids, found)
+                if most is not None and len(found) > most:
+                    break
+                if most is None and len(found) > 4 * chunk:
+                    yield _pairs(bucket, ids, found, True)
                     found = found[:0]
                 edge = upto
-            if len(found):
-                yield _pairs(ids, found)
+            if most is not None and len(found) > most:
+                lists = (token, doc, size, place, begin, end)
+                if draw == 0:
+                    lists = _lists(*arrays, arrays[3], arrays[1])
+                    at = np.searchsorted(ids, lists[1])
+                    mine = label[at]
+                    entries = _mixed(lists[1], lists[4], mine)
+                yield _pairs(bucket, ids, _drawn(lists, entries, mine, at, draw, num, den), False)
+                none = pa.nulls(1, pa.int64())
+                yield pa.record_batch([pa.array([bucket], pa.int64()), none, none, pa.array([False])], [x.split()[0] for x in _FOUND.split(", ")])
+            elif len(found):
+                yield _pairs(bucket, ids, found, True)
 
     return run
 
 
-def _pairs(ids: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(ids[(packed >> np.uint64(32)).astype(np.int64)]), pa.array(ids[(packed & np.uint64(0xFFFFFFFF)).astype(np.int64)])], ["a", "b"])
+def _pairs(bucket: int, ids: np.ndarray, packed: np.ndarray, whole: bool) -> pa.RecordBatch:
+    a, b = ids[(packed >> np.uint64(32)).astype(np.int64)], ids[(packed & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    return pa.record_batch([pa.array(np.full(len(a), bucket, np.int64)), pa.array(a), pa.array(b), pa.array(np.full(len(a), whole))], [x.split()[0] for x in _FOUND.split(", ")])
 
 
 def _verify(k: int, num: int, den: int):
@@ -357,32 +384,35 @@ def _group_labels(members: DataFrame, told: DataFrame) -> DataFrame:
     return of.where("k = n and label = most").select("grp", "label")
 
 
-def _links_of(step: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists that live on, beside the labels of the groups that they name."""
+def _links_of(step: DataFrame, labels: DataFrame, buckets: DataFrame | None) -> DataFrame:
+    """The lists that live on, of all buckets or of those given, beside the labels of the groups that they name."""
+    if buckets is not None:
+        step = step.join(F.broadcast(buckets), "bucket", "left_semi")  # a number for BUCKET postings
     maps = step.where("kind = 1").select("bucket", F.col("a").alias("grp")).join(labels, "grp").withColumnRenamed("grp", "node")
     blob = [F.lit(None).cast("binary").alias(c) for c in ("token", "doc", "size", "place")]
     none = [F.lit(None).cast("long").alias(c) for c in ("node", "label")]
     return step.where("kind = 2").select("bucket", "token", "doc", "size", "place", *none).unionByName(maps.select("bucket", *blob, "node", "label"))
 
 
-def _expanded(pairs: DataFrame, members: DataFrame, told: DataFrame, draw: int | None = None) -> DataFrame:
-    """(a, b): member pairs of different components, of the group pairs given and within groups of several components.
+def _expanded(found: DataFrame, members: DataFrame, told: DataFrame, draw: int, last: bool) -> DataFrame:
+    """(a, b): member pairs of different components, of the group pairs found and within groups of several components.
 
-    With ``draw`` one member of each group, another one for each number, stands for it.
+    A drawn pair is stood for by one member of each group, another one for each draw; groups of several components are
+    expanded in full the last time.
     """
     every = members.join(told, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
-    each = every
-    if draw is not None:
-        each = every.groupBy("grp").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", F.lit(draw))).alias("m")).select("grp", "m.*")
-    left, right = (each.toDF(g, n, f"l{n}") for g, n in (("a", "x"), ("b", "y")))
-    across = pairs.join(left, "a").join(right, "b")
+    each = every.groupBy("grp").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", F.lit(draw))).alias("m")).select("grp", "m.*")
+    pairs = found.where("a is not null").groupBy("a", "b").agg(F.max("whole").alias("whole"))
+    out = []
+    for whole, of in ((True, every), (False, each)):
+        if whole or not last:
+            some = pairs.where("whole" if whole else "not whole")
+            out.append(some.join(of.toDF("a", "x", "lx"), "a").join(of.toDF("b", "y", "ly"), "b"))
     several = every.groupBy("grp").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("grp")
-    own = every.join(several, "grp").toDF("g", "x", "lx")
-    inside = own.join(each.toDF("g", "y", "ly"), "g")
-    if draw is None:
-        inside = inside.where("x < y")
-    both = [p.where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) for p in (across, inside)]
-    return both[0].union(both[1]).distinct()
+    inside = every.join(several, "grp").toDF("g", "x", "lx").join((every if last else each).toDF("g", "y", "ly"), "g")
+    out.append(inside.where("x < y") if last else inside)
+    both = [p.where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) for p in out]
+    return reduce(DataFrame.union, both).distinct()
 
 
 def _merged(told: DataFrame, links: DataFrame) -> DataFrame:
@@ -445,20 +475,19 @@ def _text_components(docs: DataFrame, one_text: DataFrame, k: int, percent: int)
     first = freeze(verified(one_text, met, k, num, den), "links")
     told = freeze(components(first.union(other.toDF("a", "b"))).where("node <> label"), "labels")
     done = [met, first]
-    # copies of no common original: a few draws of partners join most of them, so that few pairs are left for all
-    draws = iter(range(DRAWS))
-    draw = next(draws)
-    while True:
-        pairs = spread(_links_of(step, _group_labels(members, told))).mapInArrow(_rest(num, den, draw), "a long, b long").distinct()
-        some = freeze(_expanded(pairs, members, told, draw), "pairs")
+    left = None
+    for draw in range(DRAWS + 1):
+        lists = spread(_links_of(step, _group_labels(members, told), left))
+        found = freeze(lists.mapInArrow(_rest(num, den, draw, FEW if draw < DRAWS else None), _FOUND), "group-pairs")
+        left = found.where("a is null").select("bucket").distinct()
+        last = left.isEmpty()
+        some = freeze(_expanded(found, members, told, draw, last), "pairs")
         more = freeze(verified(one_text, some, k, num, den), "links")
-        done += [some, more]
-        links = more.count()
-        if links:
+        done += [found, some, more]
+        if not more.isEmpty():
             told = _merged(told, more)
-        if draw is None:
+        if last:
             break
-        draw = next(draws, None) if draw == 0 or 20 * links > some.count() else None  # till random draws no longer pay
     discard(step, members, other, sets, *done)
     final = told.select(F.col("node").alias("doc_id"), "label")
     return stats.join(final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
