@@ -459,13 +459,70 @@ def test_secrets_model_of_all_documents(spark):
 
 
 def test_pipeline(spark):
+    """Every stage against plain Python on its own input."""
+    from tokenizers import Tokenizer
+
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns
-        docs = corpus_pipeline.freeze(out, "test")
-    near = jaccard.jaccard_components(docs.dropDuplicates(["doc_id"]))
-    assert near.where("doc_id <> component_id").count() == 0
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()))
+    rows, names = docs.collect(), docs.columns
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "near_copies", "secrets", "mixing", "encoding"]
+
+    def after(name):
+        out = stages[name](spark, docs, sf)
+        assert name == "encoding" or out.columns == names
+        return corpus_pipeline.freeze(out, "test")
+
+    # toxicity: the model of the labelled rows that may be learnt from, in the sample's order
+    toxic = {r.doc_id: r.toxic for r in labels if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h")).collect()}
+    sample = sorted((r for r in rows if r.doc_id in toxic), key=lambda r: (order[r.doc_id], r.doc_id))
+    model = toxicity.train([(r.text or "", toxic[r.doc_id]) for r in sample], np.mean(list(toxic.values())))
+    want = sorted((tuple(r) for r in rows if toxicity.score(r.text, model) < 0.3), key=repr)
+    docs = after("toxicity")
+    rows = docs.collect()
+    assert sorted(map(tuple, rows), key=repr) == want
+
+    sets = {r.doc_id: shingles(r.text) for r in rows}
+    label = classes(sets, [(a, b) for a in sets for b in sets if b < a and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    docs = after("near_copies")
+    want = sorted((tuple(r) for r in rows if label[r.doc_id] == r.doc_id), key=repr)
+    assert sorted(map(tuple, docs.collect()), key=repr) == want and len(want) < len(rows)
+    rows = docs.collect()
+
+    kinds = [r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+"]
+    ratio = secrets.train(docs.select("doc_id", "text"))
+    cut = {}
+    for r in rows:
+        text, spans = r.text or "", []
+        for k, (pattern, least) in enumerate(zip(kinds, (12, 18, 16), strict=True)):
+            spans += [(m.start(), m.end()) for m in re.finditer(pattern, text, re.ASCII) if len(m[1] if k == 0 else m[0]) >= least]
+        spans += [(s, e) for s, _, e in secrets.markov_spans(text, ratio, sorted((s, 0, e) for s, e in spans))]
+        gone = sorted({i for s, e in spans for i in range(s, e)})
+        starts = {s for s, _ in spans if s - 1 not in set(gone) or all(s != i + 1 for i in gone)} | {s for s, e in spans if any(e2 == s for _, e2 in spans)}
+        cut[r.doc_id] = "".join("[SECRET]" if i in starts else "" if i in set(gone) else c for i, c in enumerate(text)) if spans else r.text
+    docs = after("secrets")
+    rows = docs.collect()
+    assert {r.doc_id: r.text for r in rows} == cut and all(r.n_chars == len(r.text) for r in rows if "[SECRET]" in (r.text or ""))
+
+    size = {r.doc_id: len(WORD.findall(r.text or "")) for r in rows}
+    docs = after("mixing")
+    copies = Counter(map(tuple, docs.collect()))
+    by_id = {r[0]: n for r, n in copies.items()}
+    assert set(copies) <= set(map(tuple, rows)) and max(by_id.values()) <= 2
+    sizes = {r.doc_id: r for r in mixing.mixed_sizes(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert {i: n * size[i] for i, n in by_id.items() if size[i]} == {i: r.taken for i, r in sizes.items() if r.taken}
+    taken = Counter()
+    for r in rows:
+        taken[r.source] += by_id.get(r.doc_id, 0) * size[r.doc_id]
+    for s in taken:
+        assert abs(taken[s] - next(sizes[r.doc_id].target for r in rows if r.source == s)) <= max(size[r.doc_id] for r in rows if r.source == s)
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    want = []
+    for r in docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, after("encoding").collect())) == sorted(want)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(want)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilspark.sources.store import discard, freeze, shared_root
 
-__all__ = ["NOT_WORD", "SEPARATORS", "WORD", "bound_batches", "cut", "discard", "freeze", "hash_fraction", "mix64", "partitions", "read_table", "shared_root", "sized_batches", "string_bytes"]
+__all__ = ["NOT_WORD", "SEPARATORS", "WORD", "bound_batches", "cut", "discard", "freeze", "hash_fraction", "mix64", "partitions", "read_dealt", "read_table", "shared_root", "sized_batches", "string_bytes"]
 
 #: ASCII white space that ends a word in every operator here: space and U+0009 to U+000D.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -39,6 +39,12 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_dealt(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Columns of a table, dealt out to all cores where its files give fewer splits than there are cores."""
+    rows, cores = read_table(spark, sf_dir, table).select(*columns), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.bpe import round_trip
 from veilspark.llm.chat import format_conversations, read_back
-from veilspark.llm.common import freeze, read_table
+from veilspark.llm.common import freeze, read_dealt, read_table
 from veilspark.llm.embeddings import embedding_links
 from veilspark.llm.jaccard import jaccard_components
 from veilspark.llm.mixing import mixed_sizes
@@ -30,15 +30,15 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return round_trip(read_dealt(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(read_table(spark, sf_dir, "documents")).drop("distance2")
+    return quality(read_dealt(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")).drop("distance2")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read_table(spark, sf_dir, "documents"))
+    return jaccard_components(read_dealt(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity_scores(read_dealt(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
 def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secret_spans(read_dealt(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op10_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
