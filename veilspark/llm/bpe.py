@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from veilspark.llm.common import bound_batches, sized_batches
 
 #: Bounds of the per-worker cache: entries, and the longest fragment that is kept.
-CACHE, LONGEST = 250_000, 48
+CACHE, LONGEST = 120_000, 48
 
 def default_vocabulary() -> str:
     import public_tokenizers

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilspark.sources.store import discard, freeze, shared_root
 
-__all__ = ["NOT_WORD", "SEPARATORS", "WORD", "bound_batches", "cut", "discard", "freeze", "hash_fraction", "mix64", "partitions", "read_dealt", "read_table", "shared_root", "sized_batches", "string_bytes"]
+__all__ = ["NOT_WORD", "SEPARATORS", "WORD", "bound_batches", "cut", "discard", "freeze", "give_back", "hash_fraction", "mix64", "partitions", "read_dealt", "read_table", "shared_root", "sized_batches", "string_bytes"]
 
 #: ASCII white space that ends a word in every operator here: space and U+0009 to U+000D.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -68,6 +70,13 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+def give_back() -> None:
+    """What a task no longer uses goes back to the system: a worker that Spark reuses must not keep every task's peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sized_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``max_bytes`` of ``column``: memory doesn't follow the Arrow batch size."""
     for batch in batches:
@@ -80,6 +89,7 @@ def sized_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -34,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bound_batches, discard, freeze, mix64, partitions, sized_batches, string_bytes
+from veilspark.llm.common import bound_batches, discard, freeze, give_back, mix64, partitions, sized_batches, string_bytes
 from veilspark.llm.components import components
 from veilspark.llm.shingles import shingle_sets
 
 #: Frequent shingles: each task names at most LOCAL_HOT, of which the HOT most frequent are broadcast (16 bytes each).
 LOCAL_HOT, HOT = 1 << 14, 1 << 18
 #: Postings that a task packs at once; those in a bucket on average; rows of the hash filter in front of the text lookup (a fixed size).
-FLUSH, BUCKET, FILTER = 1_000_000, 1_000_000, 1 << 18
+FLUSH, BUCKET, FILTER = 500_000, 500_000, 1 << 18
 #: Draws at most before all pairs that are left meet; pairs for each group of a bucket that are few; partners that a group
 #: picks from each list, at random and by the fewest rarer shingles; those kept in a bucket.
 DRAWS, FEW, PICKS, FIRST, DRAWN = 4, 2, 4, 8, 64
@@ -59,7 +59,7 @@ def _statistics(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         names, known = ["kind", "doc_id", "n", "f1", "f2"], np.zeros(0, np.int64)
-        for batch in sized_batches(batches, "text"):
+        for batch in sized_batches(batches, "text", 4 << 20):
             sets = list(shingle_sets(*string_bytes(batch.column("text")), k))
             n = np.array([len(s) for s in sets], np.int64)
             f1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -110,7 +110,7 @@ def _prefixes(k: int, num: int, den: int, hot: np.ndarray, rank: np.ndarray, buc
                 x.clear()
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], ["bucket", "token", "doc", "size", "place"])
 
-        for batch in sized_batches(batches, "text"):
+        for batch in sized_batches(batches, "text", 4 << 20):
             for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(*string_bytes(batch.column("text")), k), strict=True):
                 n = len(s)
                 if not n or doc is None:
@@ -196,6 +196,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
                 labels.append((plain.column("node").to_numpy(zero_copy_only=False).astype(np.int64), plain.column("label").to_numpy(zero_copy_only=False).astype(np.int64)))
     if packs:
         yield now, packs, labels
+    give_back()
 
 
 def _partnered(token, size, num: int, den: int) -> np.ndarray:
@@ -290,7 +291,7 @@ def _drawn(lists, entries, mine, at, draw: int, num: int, den: int) -> np.ndarra
 _FOUND = "bucket long, a long, b long, whole boolean"
 
 
-def _rest(num: int, den: int, draw: int, few: int | None, chunk: int = 1 << 20):
+def _rest(num: int, den: int, draw: int, few: int | None, chunk: int = 1 << 18):
     """Steps 3 and 4 of a bucket: all pairs of groups of different components that pass the filters, each once (whole).
 
     Where there are more than ``few`` for each group, a draw of them instead, and a row without a pair.
