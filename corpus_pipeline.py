@@ -45,7 +45,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_copies", near_copies), ("secrets", secrets), ("mixing", mixing), ("encoding", encoding)]
 
-#: The trained classifier, the drawn mix and the tokenizer can't be expressed in SQL; tests compare with brute force.
+#: The trained classifier, the drawn mix and the tokenizer can't be expressed in SQL; a test holds each stage against plain Python.
 ORACLE_SQL = None
 
 
