@@ -41,7 +41,7 @@ from veilspark.llm.shingles import shingle_sets
 #: Frequent shingles: each task names at most LOCAL_HOT, of which the HOT most frequent are broadcast (16 bytes each).
 LOCAL_HOT, HOT = 1 << 14, 1 << 18
 #: Postings that a task packs at once; those in a bucket on average; rows of the hash filter in front of the text lookup (a fixed size).
-FLUSH, BUCKET, FILTER = 500_000, 500_000, 1 << 18
+FLUSH, BUCKET, FILTER = 500_000, 500_000, 1 << 20
 #: Draws at most before all pairs that are left meet; pairs for each group of a bucket that are few; partners that a group
 #: picks from each list, at random and by the fewest rarer shingles; those kept in a bucket.
 DRAWS, FEW, PICKS, FIRST, DRAWN = 4, 2, 4, 8, 64
