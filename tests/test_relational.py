@@ -176,6 +176,17 @@ def test_crypto(spark):
         decrypt_rows(blobs, key, "i int, s int").collect()
 
 
+def test_executors_need_no_key_of_their_own(spark):
+    df, key = spark.createDataFrame([(1, "a"), (None, None)], "i int, s string"), b"q" * 16
+    blobs = encrypt_rows(df, keep_key(spark, key, "veilspark.test"), equal_length=True)
+    back = decrypt_rows(blobs, "veilspark.test", df.schema)
+    spark._jvm.java.lang.System.clearProperty("veilspark.test")  # an executor's JVM never had it
+    assert rows(back) == rows(df) and back.where("i = 1").count() == 1
+    for frame in (blobs, back, encrypt_rows(df, key)):
+        plan = frame._jdf.queryExecution().toString()
+        assert key.hex() not in plan.lower().replace(" ", "") and key.decode() not in plan
+
+
 def test_small_helpers(spark):
     assert [next_power_of_two(n) for n in (1, 2, 3, 5, 8)] == [1, 2, 4, 8, 8] and [previous_power_of_two(n) for n in (2, 3, 8, 9)] == [1, 2, 4, 8]
     r = spark.createDataFrame([(3, -5), (0, 7)], "a int, b int").withColumn("i", interval("a", "b"))

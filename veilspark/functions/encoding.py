@@ -52,18 +52,21 @@ def session_key() -> bytes:
 
 
 def keep_key(spark: SparkSession, key: bytes, name: str = "veilspark.key") -> str:
-    """Keep the key as a system property of this JVM and give the property's name, which is all that plans, the UI and
-    event logs then see. On a cluster start executors with the same property (``-Dname=hex``)."""
+    """Keep the key as a system property of the driver's JVM and give the property's name."""
     spark._jvm.java.lang.System.setProperty(name, key.hex())
     return name
 
 
-def _key(key: bytes | str) -> Column:
-    """Bytes stand in the plan; a name is looked up where the row is."""
-    if isinstance(key, bytes):
-        return F.lit(key)
-    found = F.java_method(F.lit("java.lang.System"), F.lit("getProperty"), F.lit(key))
-    return F.unhex(F.coalesce(F.nullif(found, F.lit("null")), F.raise_error(F.lit(f"no key in the property {key}")).cast("string")))
+def _with_key(df: DataFrame, key: bytes | str) -> DataFrame:
+    """``df`` beside the key (column ``__key``), which goes to executors as a broadcast table of one row, so that plans,
+    the UI and event logs don't show it. A name is looked up on the driver, at once."""
+    spark = df.sparkSession
+    if isinstance(key, str):
+        found = spark._jvm.java.lang.System.getProperty(key)
+        if found is None:
+            raise ValueError(f"no key in the property {key}")
+        key = bytes.fromhex(found)
+    return df.crossJoin(F.broadcast(spark.createDataFrame([(bytearray(key),)], "__key binary")))  # one row
 
 
 def _survives(kind: T.DataType) -> bool:
@@ -91,10 +94,10 @@ def encrypt_rows(df: DataFrame, key: bytes | str, equal_length: bool = False) ->
     if equal_length:
         most = whole.agg(F.max(F.octet_length("row"))).first()[0] or 1
         row = F.rpad(row, next_power_of_two(most), F.lit(b" "))
-    return whole.select(F.aes_encrypt(row, _key(key), F.lit("GCM")).alias("blob"))
+    return _with_key(whole, key).select(F.aes_encrypt(row, F.col("__key"), F.lit("GCM")).alias("blob"))
 
 
 def decrypt_rows(df: DataFrame, key: bytes | str, schema) -> DataFrame:
     """The rows again; a changed blob, a wrong key or a row that doesn't fit the schema raises."""
-    text = F.decode(F.aes_decrypt("blob", _key(key), F.lit("GCM")), "utf-8")
-    return df.select(F.from_json(text, schema, {"mode": "FAILFAST"} | _TIMES).alias("r")).select("r.*")
+    text = F.decode(F.aes_decrypt("blob", F.col("__key"), F.lit("GCM")), "utf-8")
+    return _with_key(df.select("blob"), key).select(F.from_json(text, schema, {"mode": "FAILFAST"} | _TIMES).alias("r")).select("r.*")
