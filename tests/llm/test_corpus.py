@@ -526,3 +526,16 @@ def test_pipeline(spark):
         want.append((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
     assert sorted(map(tuple, after("encoding").collect())) == sorted(want)
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(want)
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    from veilspark.llm import components as C
+
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(900 - i, 901 - i) for i in range(200)] + [(1000, None), (7, 7)]
+    df = spark.createDataFrame(links, "a long, b long")
+    few = {tuple(r) for r in C.components(df).collect()}
+    monkeypatch.setattr(C, "FEW", -1)
+    assert few == {tuple(r) for r in C.components(df).collect()} and C.components(df.limit(0)).count() == 0
+    monkeypatch.setattr(C, "FEW", 10)
+    assert C.components(df.limit(0)).count() == 0
