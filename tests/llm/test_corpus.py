@@ -528,6 +528,28 @@ def test_pipeline(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(want)
 
 
+def test_signatures_lose_no_similar_pair():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (5, 40), (40, 45), (300, 310), (2000, 2300), (40_000, 70_000)):
+        pool = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        for common in (0, n // 2, n):
+            x, y = pool[:n], pool[n - common : n - common + m]
+            differ = len(np.setxor1d(x, y))
+            apart = jaccard._apart(jaccard._sign(x), jaccard._sign(y))
+            assert apart <= differ and apart == jaccard._apart(jaccard._sign(y), jaccard._sign(x))
+            if n >= 40 and common == 0:
+                assert 180 * apart > 20 * (n + m)  # unlike sets are told apart
+
+
+def test_pairs_that_texts_need_not_tell(spark):
+    """Texts that share a passage only are told apart before texts travel."""
+    word = lambda i, j: f"w{i}x{j}"
+    sets = {i: np.unique(np.array([hash(word(i, j)) & (1 << 62) - 1 for j in range(300)] + list(range(60)), np.uint64)) for i in range(20)}
+    signs = spark.createDataFrame([(i, len(s), bytearray(jaccard._sign(s))) for i, s in sets.items()], "doc_id long, n long, sign binary")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(19)] + [(3, 3)], "a long, b long")
+    assert [tuple(r) for r in jaccard.possible(signs, pairs, 80, 100).collect()] == [(3, 3)]
+
+
 def test_few_links_need_no_rounds(spark, monkeypatch):
     from veilspark.llm import components as C
 
